@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 
 VOCAB = "word_bpe_49k.json"
 #: Words and pieces whose ids a worker keeps (about 30 and 250 bytes each); it starts anew beyond them.
-CACHE_WORDS, CACHE_PIECES = 3_000_000, 400_000
+CACHE_WORDS, CACHE_PIECES = 2_000_000, 300_000
 #: UTF-8 bytes of text that are laid out at once; a single longer text is taken alone.
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 12_000_000
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of these characters alone need no normalisation but lower case, and their pieces are plain runs.
