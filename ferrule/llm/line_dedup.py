@@ -41,8 +41,9 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def _shared(named: DataFrame) -> DataFrame:
-    """Rows whose name (a, b) isn't theirs alone."""
-    more = named.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("a", "b")
+    """Rows whose name (a, b) isn't theirs alone. The names are written first: joined as an aggregate they would
+    keep its partitioning, and Spark can't split a hot name's rows then."""
+    more = materialise(named.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("a", "b"))
     return named.join(more, ["a", "b"])
 
 
