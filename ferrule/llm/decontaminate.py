@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 
 K1, B, THRESHOLD, OVERLAP, WORDS = 1.2, 0.75, 0.6, 0.8, 5
 BLOCK_ITEMS, INDEX_BYTES = 16, 16_000_000
-CHUNK_BYTES = 16_000_000
+#: Text that is cut into passages at once; a single longer text is taken alone.
+CHUNK_BYTES = 3_000_000
 _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
