@@ -30,7 +30,7 @@ from ferrule.llm.shared import materialise, prefix_sum, shared_dir
 END_ID, MAGIC = 1, b"FERRTOK1"
 TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 512, 8_000_000, 65_536
 #: Documents of a range of doc_ids, about, and bytes after which its next shard begins.
-RANGE_DOCS, SHARD_BYTES = 8192, 16_000_000
+RANGE_DOCS, SHARD_BYTES = 8192, 8_000_000
 _FOOTER = "<QQ8s"
 _FOOTER_BYTES = struct.calcsize(_FOOTER)
 
@@ -132,7 +132,7 @@ def write(docs: DataFrame, path: str, vocab: str = tokens.VOCAB, end_id: int = E
             sizes = np.fromiter(map(len, raw := batch.column("frame").to_pylist()), np.int64)
             while at < len(raw):
                 upto = max(at + 1, at + int(np.searchsorted(size + np.cumsum(sizes[at:]), SHARD_BYTES, side="right"))) if not frames or size < SHARD_BYTES else at
-                held.append(batch.slice(at, upto - at))
+                held.append(batch.select(["doc_id", "n_tokens"]).slice(at, upto - at))
                 frames += raw[at:upto]
                 size += int(sizes[at:upto].sum())
                 at = upto

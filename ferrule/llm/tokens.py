@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 
 VOCAB = "word_bpe_49k.json"
 #: Words and pieces whose ids a worker keeps (about 30 and 250 bytes each); it starts anew beyond them.
-CACHE_WORDS, CACHE_PIECES = 2_000_000, 300_000
+CACHE_WORDS, CACHE_PIECES = 800_000, 150_000
 #: UTF-8 bytes of text that are laid out at once; a single longer text is taken alone.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 6_000_000
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of these characters alone need no normalisation but lower case, and their pieces are plain runs.
@@ -117,6 +117,7 @@ class Encoder:
             part = texts.slice(at, upto - at)
             yield (upto - at, *(self._by_word(part, end_id) if self.by_word else self._whole(part, end_id)))
             at = upto
+        pa.default_memory_pool().release_unused()
 
     def _whole(self, texts: pa.Array, end_id: int | None):
         end = () if end_id is None else (end_id,)
