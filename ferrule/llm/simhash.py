@@ -12,7 +12,8 @@ few bits and so are few. A bucket gives a spanning forest of its links, not its
 large and small stars, each round written to the shared folder.
 
 Null and empty text: fingerprint zero, linked like any other. Null doc_id: fingerprinted; it never names a component
-unless all of its documents have none. Repeated rows are returned each. Empty table: no rows. Extra columns are ignored.
+unless all of its documents have none. Components of unrelated texts stay apart where their doc_ids are null or repeated, though
+their name, the smallest doc_id, is then the same. Repeated rows are returned each. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,15 +56,22 @@ def _fingerprints(texts: pa.Array, words: int, seed: int) -> np.ndarray:
     return out
 
 
+def _key() -> tuple[Column, Column]:
+    """128 bits that name a row's doc_id and text."""
+    parts = (F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text"))
+    return F.xxhash64(*parts).alias("_k1"), F.xxhash64(F.lit(1), *parts).alias("_k2")
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    """doc_id, fp (the 64 bits as a signed long), _k1, _k2 (the row's key)."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(x, T.LongType()) for x in ("fp", "_k1", "_k2"))])
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_fingerprints(batch.column("text"), words, seed).view(np.int64))], names=schema.names)
+            fp = pa.array(_fingerprints(batch.column("text"), words, seed).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp, batch.column("_k1"), batch.column("_k2")], names=schema.names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *_key()).mapInArrow(run, schema)
 
 
 def masks(radius: int = RADIUS, round_: int = 0, bits: int = BITS) -> list[int]:
@@ -156,25 +164,25 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _components(fps: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """fp, comp of every fingerprint, and comp, first: the row of the component's smallest doc_id, by its key."""
+    # a fingerprint is its own node: doc_ids may be null or repeated, so they name components only at the end
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k1", "_k2")
+    nodes = materialise(fps.groupBy("fp").agg(F.min(least).alias("first")))
+    comp = components(links(nodes.select("fp", F.col("fp").alias("node")), radius))
+    of = materialise(nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", F.coalesce("comp", "fp").alias("comp"), "first"))
+    return of.select("fp", "comp"), of.groupBy("comp").agg(F.min("first").alias("first"))
+
+
 def group(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id of every row: component_id is the smallest doc_id reachable over links."""
     fps = materialise(fingerprints(docs, words, seed))
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    # a fingerprint's node is itself in an order that follows the smallest doc_id, so that the smallest node names the component
-    named = nodes.where("first is not null").select("fp", F.col("first").cast("long").alias("node"))
-    unnamed = nodes.where("first is null").select("fp", F.expr("bigint(9223372036854775807 - monotonically_increasing_id())").alias("node"))
-    nodes = materialise(named.unionAll(unnamed))
-    comp = components(links(nodes, radius))
-    # one node a fingerprint, but a repeated doc_id may be the smallest of several
-    of = nodes.join(comp, "node", "left").select("fp", F.coalesce("comp", "node").alias("component_id"))
-    first = F.when(F.col("component_id") > F.lit(2**62), F.lit(None)).otherwise(F.col("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", first.cast("long").alias("component_id"))
+    of, first = _components(fps, radius)
+    return fps.join(of.join(first, "comp"), "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """One row of each component, that of the smallest doc_id; of rows that tie, one."""
-    columns = docs.columns
-    grouped = group(docs, words, seed, radius).where("doc_id = component_id or (doc_id is null and component_id is null)")
-    chosen = grouped.select("doc_id").distinct()
-    kept = docs.join(chosen.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*columns)
+    _, first = _components(materialise(fingerprints(docs, words, seed)), radius)
+    kept = docs.select("*", *_key()).join(first.select("first._k1", "first._k2"), ["_k1", "_k2"], "left_semi")
+    return kept.dropDuplicates(["_k1", "_k2"]).select(*docs.columns)

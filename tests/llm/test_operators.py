@@ -229,6 +229,17 @@ def test_simhash(docs, real, empty):
     assert simhash.group(empty).count() == 0
 
 
+def test_simhash_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(40)) for name in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[3]), (5, texts[4]), (None, texts[4]), (9, texts[5]), (7, texts[5])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, simhash.keep_one(d).collect())) == Counter([*rows[:2], *rows[3:5], rows[7], rows[10]])
+    # fingerprints whose smallest doc_id is the same stay apart: 9 is named by 7, 4 by its own
+    d = spark.createDataFrame([*rows, (4, texts[2])], "doc_id long, text string")
+    names = Counter((r["doc_id"], r["component_id"]) for r in simhash.group(d).collect())
+    assert names == Counter([(None, None)] * 3 + [(7, 4), (4, 4), (7, 7), (7, 7), (8, 7), (5, 5), (None, 5), (9, 7), (7, 7)])
+
+
 def test_covering_masks_cover():
     r = np.random.RandomState(0)
     for round_ in range(3):
