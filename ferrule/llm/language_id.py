@@ -149,7 +149,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def accept(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns kept, whose text is in some language: neither null nor without a letter.
 
-    The verdict needs the text alone, so no join: rows are scored in place and rejected ones dropped.
+    The verdict needs the text alone, so no join: rows are scored in place and rejected ones dropped. Without a model
+    nothing is scored and a letter is enough; with one, a text goes as well if its best label is ``und`` itself.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
     at, schema = docs.columns.index("text"), docs.schema
@@ -160,7 +161,8 @@ def accept(docs: DataFrame) -> DataFrame:
             texts = batch.column(at).fill_null("")
             ok = [False] * len(batch)
             for k, text in enumerate(texts.to_pylist()):
-                if model is not None and _LETTER.search(text):
+                ok[k] = _LETTER.search(text) is not None
+                if model is not None and ok[k]:
                     data = np.frombuffer(b"\0\0\0" + text.encode(), np.uint8)
                     ok[k] = model.langs[int(model.bits(data, np.array([0, len(data)]))[0].argmin())] != UNKNOWN
             yield batch.filter(pa.array(ok, pa.bool_()))

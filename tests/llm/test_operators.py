@@ -185,6 +185,17 @@ def test_language(spark, docs, real, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_language_accepts_without_a_model(spark):
+    texts = [None, "", " 12 !", "a word", "日本", "x" * (language_id.TRAIN_BYTES + 1)]
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 0)
+    for rows in ([(k, t, None) for k, t in enumerate(texts)], [(held, t, "en") for t in texts], [(None, t, "en") for t in texts], [(held + 1, texts[0], "en"), (held + 1, texts[5], "en")]):
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert language_id.learn(d) is None
+        assert {r["text"] for r in language_id.accept(d).collect()} == {t for _, t, _ in rows} & set(texts[3:])
+    labelled = spark.createDataFrame([(1, "abc " * 50, "en"), (2, "xyz " * 50, "und"), (3, "abc abc", None), (4, "xyz xyz", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in language_id.accept(labelled).collect()} == {1, 3}
+
+
 def test_code_lengths_are_of_a_distribution():
     m = language_id.train({"a": [b"abracadabra" * 40], "b": [b"banana band" * 40]})
     for context in (b"abr", b"zzz", b"\0\0\0"):
