@@ -35,7 +35,12 @@ def common_divisor(values: list[int]) -> int:
 
 
 def process_map(kind: str, i: Column, j: Column, p: int) -> Column:
-    """The process of block (i, j) among ``p``; square grids use the largest square that fits."""
+    """The process of block (i, j) among ``p``; square grids use the largest square that fits.
+
+    As in the reference, an unknown name means MODWRAP2D; the tree map, which isn't built, is refused.
+    """
+    if kind == "MODWRAP2DTREE":
+        raise NotImplementedError("process map MODWRAP2DTREE is not built")
     side = max(1, int(p**0.5))
     low, high = F.least(i, j), F.greatest(i, j)
     forms = {

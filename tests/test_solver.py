@@ -3,8 +3,10 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from ferrule.functions.basic import process_map
 from ferrule.operators import matrix, ordering
 from ferrule.plans import catalog
 from ferrule.plans.solver import Options, SymMatrix
@@ -57,6 +59,11 @@ def test_refuses(spark):
         matrix.validate(spark.createDataFrame([(0, 1, 1.0)], "i long, j long, v double"), 2)
 
 
+def test_tree_map_is_refused(spark):
+    with pytest.raises(NotImplementedError, match="MODWRAP2DTREE"):
+        process_map("MODWRAP2DTREE", F.col("i"), F.col("j"), 16)
+
+
 def test_matrix_market_round_trip(spark, tmp_path):
     a = np.array([[2.0, -1, 0], [-1, 2, -1], [0, -1, 2]])
     readers.write_matrix_market(dense(spark, a), 3, f"{tmp_path}/m")
