@@ -39,7 +39,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Tokens and fingerprints are beyond SQL; tests hold run() against a brute-force version.
+#: Tokens and fingerprints are beyond SQL. Tests hold the doc_ids of run() against the same stages called one by one, and
+#: most operators against brute-force versions of their own; no independent version of the whole pipeline exists.
 ORACLE_SQL = None
 
 
