@@ -200,6 +200,8 @@ def compose_with_inverse(spark, d):
 
 for _m in ("MMD", "AMD", "RCM", "ND", "NDGRID", "NDBOX"):
     query("SELECT p_partkey AS new FROM part", f"order_{_m.lower()}")(lambda spark, d, m=_m: ordering.order(*part_grid(spark, d), m).select("new", "old").groupBy("old").agg(F.min("new").alias("new")).select("new"))
+    # the ordering itself; SQL can't express it, and that of order_* only holds its range
+    query(None, f"perm_{_m.lower()}")(lambda spark, d, m=_m: ordering.order(*part_grid(spark, d), m).select("old", "new"))
 
 _MAPS = {"ROW2D": "i % 16", "COL2D": "j % 16", "ANTIDIAG2D": "(i + j) % 16", "WRAP2D": "i % 4 + 4 * (j % 4)", "WRAP2DFORCED": "CASE WHEN i = j THEN j % 16 ELSE i % 4 + 4 * (j % 4) END", "MODWRAP2D": "least(i, j) % 4 + 4 * (CAST(floor(greatest(i, j) / 4) AS BIGINT) % 4)", "MODWRAP2DNS": "i % 4 + 4 * (CAST(floor(j / 4) AS BIGINT) % 4)"}
 for _k, _s in _MAPS.items():

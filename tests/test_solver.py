@@ -11,7 +11,7 @@ from ferrule.operators import matrix, ordering
 from ferrule.plans import catalog
 from ferrule.plans.solver import Options, SymMatrix
 from ferrule.sources import readers
-from ferrule.sources.fixtures import exact_solution
+from ferrule.sources.fixtures import exact_solution, part_grid
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,6 +59,18 @@ def test_refuses(spark):
         matrix.validate(spark.createDataFrame([(0, 1, 1.0)], "i long, j long, v double"), 2)
 
 
+def test_orderings_are_in_the_result(spark):
+    coo, n = part_grid(spark, SF)
+    i, j = (np.array(x) for x in zip(*((r["i"], r["j"]) for r in coo.collect()), strict=True))
+    got = {}
+    for name in ("mmd", "amd", "rcm", "nd", "ndgrid", "ndbox"):
+        rows = sorted(map(tuple, catalog.QUERIES[f"perm_{name}"](spark, SF).select("new", "old").collect()))
+        assert [new for new, _ in rows] == sorted(old for _, old in rows) == list(range(n))
+        got[name] = [old for _, old in rows]
+        assert got[name] == ordering.order_array(name.upper(), n, i, j).tolist() != list(range(n))
+    assert got["mmd"] != got["rcm"] != got["ndgrid"]
+
+
 def test_tree_map_is_refused(spark):
     with pytest.raises(NotImplementedError, match="MODWRAP2DTREE"):
         process_map("MODWRAP2DTREE", F.col("i"), F.col("j"), 16)
