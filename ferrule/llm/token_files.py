@@ -4,10 +4,12 @@ A shard is: magic, SHA-256 of the dictionary, the frames one after another, an i
 number of ids, offset of each frame), and a footer that says where the index starts. A short document is read
 by its index entry alone: one seek, one frame. Frames hold little-endian unsigned 32-bit ids. Shards are named
 by their place in ascending doc_id order. The dictionary is trained on whole documents: those of the smallest
-hashed doc_id, ``TRAIN_DOCS`` of them at most, up to ``TRAIN_BYTES`` together; it changes sizes, never ids.
+hashed doc_id, ``TRAIN_DOCS`` of them at most, up to ``TRAIN_BYTES`` together; it changes sizes, never ids. Where these are too few or too
+short to train on, there is no dictionary: shards name the hash of nothing, frames are compressed alone, and no dictionary file is written.
 
 Null text: empty (the end id alone). Null doc_id: first in order, null when read back. Repeated rows and tied
-doc_ids: all are written, ordered by their ids' checksum. Empty table: no shard, no rows. Extra columns are ignored.
+doc_ids: all are written, ordered by their ids' checksum. Empty table: no shard, no rows. Extra columns are ignored. Texts of any length are
+one frame each; a frame over ``SHARD_BYTES`` is a shard of its own.
 """
 
 from __future__ import annotations
@@ -40,14 +42,20 @@ def train_dictionary(docs: DataFrame, vocab: str = tokens.VOCAB, end_id: int = E
     import zstandard
 
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") < TRAIN_BYTES)
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(TRAIN_DOCS).withColumn("_sum", F.octet_length("text"))
-    texts, total = [], 0
-    for r in rows.toLocalIterator():
-        total += r["_sum"]
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
+    sizes = hashed.select("doc_id", "_th", F.octet_length("text").alias("_n")).join(F.broadcast(chosen), "doc_id").where(F.col("_n") < TRAIN_BYTES).distinct()
+    keys, total = [], 0
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "_th").limit(TRAIN_DOCS).collect():  # sizes alone, before any text moves
+        total += r["_n"]
         if total > TRAIN_BYTES:
             break
-        texts.append(r["text"])
+        keys.append((r["doc_id"], r["_th"]))
+    texts: list[str] = []
+    if keys:
+        wanted = docs.sparkSession.createDataFrame(keys, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _th long")
+        own = hashed.join(F.broadcast(wanted), ["doc_id", "_th"]).groupBy("doc_id", "_th").agg(F.min("text").alias("text"))
+        found = {(r["doc_id"], r["_th"]): r["text"] for r in own.collect()}
+        texts = [found[k] for k in keys]
     samples = []
     for n, offsets, ids in tokens.encoder(vocab).texts(pa.array(texts, pa.string()), end_id):
         samples += [ids[offsets[k] : offsets[k + 1]].astype("<u4").tobytes() for k in range(n)]
@@ -73,25 +81,47 @@ def _decompressor(dictionary: bytes):
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
 
 
+#: The hash that a shard without a dictionary names.
+NO_DICTIONARY = hashlib.sha256(b"").hexdigest()
+#: Schemes that Hadoop and pyarrow call differently.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark takes for it, so that executors open the same store that Spark reads."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    scheme, rest = own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString().split(":", 1)
+    return f"{_SCHEMES.get(scheme, scheme)}:{rest if rest.startswith('//') else '//' + rest}"
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
 
 
+def _bounds(docs: DataFrame, ranges: int) -> np.ndarray:
+    """First doc_ids of at most ``ranges`` ranges that hold about as many rows each; one number a range comes to the driver."""
+    if ranges < 2:
+        return np.zeros(0, np.int64)
+    dealt = docs.select("doc_id").where("doc_id is not null").repartitionByRange(ranges, "doc_id")
+    first = dealt.groupBy(F.spark_partition_id().alias("_p")).agg(F.min("doc_id").alias("_first")).collect()
+    return np.unique(np.array([r["_first"] for r in first], np.int64))[1:]
+
+
 def write(docs: DataFrame, path: str, vocab: str = tokens.VOCAB, end_id: int = END_ID) -> DataFrame:
     """Writes ``docs`` below ``path``; returns the manifest: range, part, name, n_docs, n_tokens."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
+    path = _qualified(spark, path)
     dictionary = train_dictionary(docs, vocab, end_id)
     digest = hashlib.sha256(dictionary).digest()
     store, root = _filesystem(path)
     store.create_dir(root, recursive=True)
-    with store.open_output_stream(f"{root}/{digest.hex()}.zdict") as f:
-        f.write(dictionary)
-    ranges = max(1, docs.count() // RANGE_DOCS)
-    quantiles = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
-    bounds = np.unique(np.array(quantiles, np.float64))
+    if dictionary:
+        with store.open_output_stream(f"{root}/{digest.hex()}.zdict") as f:
+            f.write(dictionary)
+    bounds = _bounds(docs, docs.count() // RANGE_DOCS)
     shared = spark.sparkContext.broadcast(dictionary)
     schema = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("crc", T.LongType()), T.StructField("frame", T.BinaryType())])
 
@@ -101,7 +131,7 @@ def write(docs: DataFrame, path: str, vocab: str = tokens.VOCAB, end_id: int = E
             at = 0
             for n, offsets, ids in enc.texts(batch.column("text"), end_id):
                 doc = batch.column("doc_id").slice(at, n)
-                place = np.searchsorted(bounds, doc.cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False), side="right")
+                place = np.where(doc.is_null(), 0, np.searchsorted(bounds, doc.fill_null(0).to_numpy(), side="right"))
                 raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 parts = [raw[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), doc, pa.array(np.diff(offsets)), pa.array(map(zlib.crc32, parts), pa.int64()), pa.array(map(zstd.compress, parts), pa.binary())], names=schema.names)
@@ -124,7 +154,10 @@ def write(docs: DataFrame, path: str, vocab: str = tokens.VOCAB, end_id: int = E
                 f.write(b"".join(frames))
                 f.write(np.asarray(ids.is_valid()).astype("u1").tobytes() + ids.fill_null(0).cast(pa.int64()).to_numpy().astype("<i8").tobytes() + counts.astype("<u8").tobytes() + offsets.tobytes())
                 f.write(struct.pack(_FOOTER, len(frames), int(offsets[-1]), MAGIC))
-            store.move(own, f"{root}/{name}")  # as a whole, and with the same bytes from any attempt
+            if store.get_file_info(f"{root}/{name}").type.name == "NotFound":
+                store.move(own, f"{root}/{name}")  # as a whole
+            else:  # the same bytes, from another attempt
+                store.delete_file(own)
             return pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int32()), "part": pa.array([part], pa.int32()), "name": [name], "n_docs": [len(frames)], "n_tokens": [int(counts.sum())]})
 
         for batch in batches:
@@ -150,7 +183,7 @@ def write(docs: DataFrame, path: str, vocab: str = tokens.VOCAB, end_id: int = E
 def read(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the shards; any file system that Spark reads will do."""
     dictionaries = {r["path"].rsplit("/", 1)[-1].split(".")[0]: bytes(r["content"]) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.zdict").load(path).collect()}
-    shared = spark.sparkContext.broadcast(dictionaries)
+    shared = spark.sparkContext.broadcast(dictionaries | {NO_DICTIONARY: b""})
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.shard").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
     def decode(batches):
@@ -190,8 +223,11 @@ def lookup(path: str, name: str, doc_id: int) -> list[np.ndarray]:
         tail = f.read_at(size - at, at)
         valid, doc = np.frombuffer(tail, "u1", n).astype(bool), np.frombuffer(tail, "<i8", n, n)
         frames = np.frombuffer(tail, "<u8", n + 1, 17 * n).astype(np.int64)
-        with store.open_input_stream(f"{root}/{head[len(MAGIC) :].hex()}.zdict") as g:
-            zstd = _decompressor(g.read())
+        dictionary = b""
+        if (digest := head[len(MAGIC) :].hex()) != NO_DICTIONARY:
+            with store.open_input_stream(f"{root}/{digest}.zdict") as g:
+                dictionary = g.read()
+        zstd = _decompressor(dictionary)
         return [np.frombuffer(zstd.decompress(f.read_at(int(frames[k + 1] - frames[k]), int(frames[k]))), "<u4") for k in np.flatnonzero(valid & (doc == doc_id))]
 
 
