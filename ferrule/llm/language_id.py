@@ -4,18 +4,18 @@ One variable-order context tree a language holds the byte counts after each cont
 training met at least ``MIN_CONTEXT`` times. A byte costs -log2 of its probability in the longest context that is in
 the tree; where that context never saw the byte, an escape (method C: as likely as the context's number of
 distinct bytes) hands it to the next shorter context, down to a uniform choice among 256. Statistics are frozen after
-training, so a text's cost is a sum of table entries and the whole text is scored with array look-ups.
+training, so a text's cost is a sum of table entries (in double precision) and the whole text is scored with array look-ups.
 Training takes whole texts of up to ``TRAIN_DOCS`` documents of each language, those of the smallest hashed
-doc_id, and leaves out every document whose crc32(doc_id as text) mod 5 is 0.
+doc_id (one text of each, should a doc_id repeat), and leaves out every document whose crc32(doc_id as text) mod 5 is 0. The table of costs goes to every executor; if it would pass
+``TABLE_BYTES`` (many languages), contexts must have been met more often to be in the tree, until it doesn't.
 
-Null text and text without a letter: ``und``, score 0. No labelled document at all: ``und`` throughout. Null lang
-takes no part in training. Null doc_id: scored, not held out, not learned from. Repeated rows are scored each; equal costs go to the
-language that sorts first. Empty table: no rows. Extra columns are ignored.
+A letter is a character of Unicode's category L. Null text and text without a letter: ``und``, score 0. No labelled document at all: ``und``
+throughout. Null lang takes no part in training. Null doc_id: scored, not held out, not learned from. Repeated rows are scored each; equal
+costs go to the language that sorts first. Empty table: no rows. Extra columns are ignored, and kept by ``accept``. Very long texts are scored whole, in blocks.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,16 @@ ORDER, MIN_CONTEXT = 3, 8
 #: Documents of a language that are learned from, and bytes of them together.
 TRAIN_DOCS, TRAIN_BYTES = 400, 2_000_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Of the table of costs, eight for each context, symbol and language.
+TABLE_BYTES = 256_000_000
+#: Bits of a byte in no language: what a byte costs if nothing is known of it.
+PLAIN_BITS = 8.0
+#: Ranges of hashed doc_ids (a power of two), of which those that hold the first ``TRAIN_DOCS`` of a language are looked at.
+HASH_RANGES = 65_536
+
+
+def _has_letter(text: str = "text"):
+    return F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -57,7 +66,7 @@ class Model:
         return total
 
 
-def train(texts: dict[str, list[bytes]]) -> Model:
+def train(texts: dict[str, list[bytes]], table_bytes: int = TABLE_BYTES) -> Model:
     langs = sorted(texts)
     joined = {x: np.frombuffer(b"".join(b"\0\0\0" + t for t in texts[x]), np.uint8) for x in langs}
     met = np.unique(np.concatenate([np.zeros(1, np.uint8), *joined.values()]))
@@ -76,15 +85,18 @@ def train(texts: dict[str, list[bytes]]) -> Model:
             seen.append(np.unique(key, return_counts=True))
         orders.append(seen)
     # contexts in any language's tree, by order; the state of a longer one that isn't there is that of its end
-    contexts = [np.zeros(1, np.int64)]
-    for k in range(1, ORDER + 1):
-        kept = []
-        for seen in orders:
-            own, at = np.unique(seen[k][0] // n, return_inverse=True)
-            kept.append(own[np.bincount(at, weights=seen[k][1], minlength=len(own)) >= MIN_CONTEXT])
-        contexts.append(np.unique(np.concatenate(kept)))
+    met_in = [[np.unique(seen[k][0] // n, return_inverse=True) for k in range(1, ORDER + 1)] for seen in orders]
+    often = [[np.bincount(at, weights=seen[k][1], minlength=len(own)) for k, (own, at) in enumerate(of, 1)] for seen, of in zip(orders, met_in, strict=True)]
+    least = MIN_CONTEXT
+    while True:
+        contexts = [np.zeros(1, np.int64)]
+        for k in range(ORDER):
+            contexts.append(np.unique(np.concatenate([of[k][0][times[k] >= least] for of, times in zip(met_in, often, strict=True)])))
+        if sum(map(len, contexts)) * n * len(langs) * 8 <= table_bytes or least > TRAIN_BYTES:
+            break
+        least *= 2
     first = np.cumsum([0, *map(len, contexts)])
-    cost = np.zeros((first[-1], n, len(langs)), np.float32)
+    cost = np.zeros((first[-1], n, len(langs)))
     suffix = np.zeros(1, np.int64)  # of each context of the order before, for every way to lengthen it
     for k in range(ORDER + 1):
         for j, seen in enumerate(orders):
@@ -97,7 +109,7 @@ def train(texts: dict[str, list[bytes]]) -> Model:
                 ok = contexts[k][at_ok] == keys // n if len(contexts[k]) else np.zeros(len(keys), bool)
                 counts = np.zeros((len(contexts[k]), n))
                 counts[at_ok[ok], keys[ok] % n] = times[ok]
-                shorter = 2.0 ** -cost[suffix[contexts[k] % n ** (k - 1)], :, j].astype(np.float64)
+                shorter = 2.0 ** -cost[suffix[contexts[k] % n ** (k - 1)], :, j]
             total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
             p = np.where(counts > 0, counts / np.maximum(total + kinds, 1), np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0) * shorter)
             cost[first[k] : first[k + 1], :, j] = -np.log2(p)
@@ -109,11 +121,19 @@ def train(texts: dict[str, list[bytes]]) -> Model:
 
 def learn(docs: DataFrame) -> Model | None:
     """The frozen model; None without a labelled document."""
-    labelled = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).distinct()
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= TRAIN_DOCS).drop("_r")
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).where(F.octet_length("text") <= TRAIN_BYTES)
-    size = F.sum(F.octet_length("text")).over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0))
+    h = F.xxhash64("doc_id")
+    # ranges of hashes are counted first, so no more than a range over TRAIN_DOCS of a language meet in its window
+    width = (HASH_RANGES - 1).bit_length()
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", F.shiftright(h, 64 - width).alias("_h")).distinct()
+    before = F.sum("_n").over(W.partitionBy("lang").orderBy("_h").rowsBetween(W.unboundedPreceding, -1))
+    ranges = labelled.groupBy("lang", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    first = ranges.withColumn("_b", F.coalesce(before, F.lit(0))).where(F.col("_b") < TRAIN_DOCS).select("lang", "_h")
+    order = W.partitionBy("lang").orderBy(h, "doc_id")
+    few = labelled.join(F.broadcast(first), ["lang", "_h"]).select("doc_id", "lang")
+    chosen = few.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= TRAIN_DOCS).drop("_r")
+    own = docs.select("doc_id", "lang", F.struct(F.xxhash64("text"), F.col("text").cast("string").alias("text")).alias("x")).where(F.octet_length("x.text") <= TRAIN_BYTES)
+    rows = own.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("x").alias("x")).select("doc_id", "lang", "x.text")
+    size = F.sum(F.octet_length("text")).over(W.partitionBy("lang").orderBy(h, "doc_id").rowsBetween(W.unboundedPreceding, 0))
     texts: dict[str, list[bytes]] = {}
     for r in rows.withColumn("_s", size).where(F.col("_s") <= TRAIN_BYTES).select("lang", "text").toLocalIterator():
         texts.setdefault(r["lang"], []).append(r["text"].encode())
@@ -130,7 +150,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         model = shared.value
         for batch in batches:
             texts = batch.column("text").fill_null("").cast(pa.large_string())
-            known = np.array([bool(_LETTER.search(t.as_py())) for t in texts], bool) & (model is not None)
+            known = batch.column("letter").to_numpy(zero_copy_only=False) & (model is not None)
             lang, sure, rate = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch)), np.zeros(len(batch))
             for k in np.flatnonzero(known).tolist():
                 data = np.frombuffer(b"\0\0\0" + texts[k].as_py().encode(), np.uint8)
@@ -139,7 +159,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 lang[k], sure[k], rate[k] = model.langs[best], 1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum(), bits[best] / (len(data) - ORDER)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(sure), pa.array(rate)], names=schema.names)
 
-    return docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(score, schema)
+    return docs.select("doc_id", held_out().alias("held_out"), _has_letter().alias("letter"), F.col("text").cast("string").alias("text")).mapInArrow(score, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -147,24 +167,29 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose text is in some language: neither null nor without a letter.
+    """The rows of ``docs``, all columns kept, whose text is in some learned language.
 
-    The verdict needs the text alone, so no join: rows are scored in place and rejected ones dropped. Without a model
-    nothing is scored and a letter is enough; with one, a text goes as well if its best label is ``und`` itself.
+    Rejected are null texts and texts without a letter, texts whose best label is ``und`` itself, and texts that no language's statistics
+    make shorter: their best code length isn't under ``PLAIN_BITS`` a byte, so the most alike language explains them no better than none. The
+    verdict needs the text alone, so no join: rows are scored in place and rejected ones dropped. Without a model there is nothing to
+    score with, and a letter is enough.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
-    at, schema = docs.columns.index("text"), docs.schema
+    lettered = docs.where(_has_letter())
+    model = learn(docs)
+    if model is None:
+        return lettered
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def keep(batches):
         model = shared.value
         for batch in batches:
-            texts = batch.column(at).fill_null("")
             ok = [False] * len(batch)
-            for k, text in enumerate(texts.to_pylist()):
-                ok[k] = _LETTER.search(text) is not None
-                if model is not None and ok[k]:
-                    data = np.frombuffer(b"\0\0\0" + text.encode(), np.uint8)
-                    ok[k] = model.langs[int(model.bits(data, np.array([0, len(data)]))[0].argmin())] != UNKNOWN
+            for k, text in enumerate(batch.column(at)):
+                data = np.frombuffer(b"\0\0\0" + text.as_py().encode(), np.uint8)
+                bits = model.bits(data, np.array([0, len(data)]))[0]
+                best = int(bits.argmin())
+                ok[k] = model.langs[best] != UNKNOWN and bits[best] < PLAIN_BITS * (len(data) - ORDER)
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(keep, schema)
+    return lettered.mapInArrow(keep, docs.schema)
