@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-Vectors are scaled to length one and cut in halves; each half has its own ``CENTROIDS`` centroids (k-means on at most ``SAMPLE`` vectors, those
-of the smallest hash). A pair of centroids is a cell. A query walks the cells in order of the sum of its halves'
+Vectors are scaled to length one and cut in halves; each half has its own centroids (k-means on at most ``SAMPLE`` vectors, those of the
+smallest hash). Their number grows with the square root of the table's, so that cells, which are pairs of centroids, hold about as many vectors
+at any size: finer cells need a smaller part of the table for the same recall. A query walks the cells in order of the sum of its halves'
 distances, with a heap (the multi-sequence walk), until they hold ``SHARE`` of all vectors; these are reranked by their exact cosine in
-double precision. ``SHARE`` is a share and not a number, so recall doesn't fall as the table grows.
+double precision. ``SHARE`` is a share and not a number, so recall doesn't fall as the table grows; ``search`` takes a smaller one where vectors lie in clusters.
 
 Equal vectors are one entry with its ``k``+1 smallest ids, which is all that a top-k can use. Cells are put together into groups of
 about ``GROUP_ROWS`` entries, larger cells are split, and queries go by blocks: a task sees one group against one block, and keeps the
-best k+1 of each query.
+best k+1 of each query. Cosines are taken of vectors scaled by a power of two, which rounds nothing and can't overflow.
 
 Null and zero vectors, vectors with null or non-finite components, null ids, and vectors of another length than most take no part. Ties go to the smaller
 vec_id. A vec_id's own rows are no candidates for it; rows repeated whole are one. Empty table: no rows. Extra columns are ignored.
@@ -26,8 +27,10 @@ from pyspark.sql import Window as W
 from ferrule.llm.shared import materialise
 
 K, EVERY = 5, 50
-CENTROIDS, SAMPLE, ROUNDS, SHARE = 16, 20_000, 12, 0.75
-GROUP_ROWS, QUERY_BLOCK = 4096, 4096
+SAMPLE, ROUNDS, SHARE = 20_000, 10, 0.6
+#: Centroids of a half: half the square root of the number of vectors, within these bounds.
+CENTROIDS = (32, 512)
+GROUP_ROWS, QUERY_BLOCK = 8192, 8192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -40,10 +43,15 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _units(m: np.ndarray) -> np.ndarray:
-    m = m / np.abs(m).max(axis=1, keepdims=True)
+    m = _scaled(m)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component is in [0.5, 1)."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     c = x[np.random.RandomState(7).permutation(len(x))[:k]].copy()
     for _ in range(rounds):
@@ -90,7 +98,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, share: float = SH
         return empty
     x = _units(np.stack(sample))
     half = x.shape[1] // 2
-    centres = [_kmeans(x[:, s], min(CENTROIDS, len(x)), ROUNDS) for s in (slice(0, half), slice(half, None))]
+    centroids = min(len(x), max(CENTROIDS[0], min(CENTROIDS[1], round(entries.count() ** 0.5 / 2))))
+    centres = [_kmeans(x[:, s], centroids, ROUNDS) for s in (slice(0, half), slice(half, None))]
     shared = spark.sparkContext.broadcast(centres)
 
     def cells(frames):
@@ -100,7 +109,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, share: float = SH
             yield f.assign(cell=(_nearest(u[:, : c1.shape[1]], c1) * len(c2) + _nearest(u[:, c1.shape[1] :], c2)).astype(np.int32))
 
     placed = materialise(entries.mapInPandas(cells, "v array<double>, ids array<long>, entry long, cell int"))
-    # at most CENTROIDS^2 rows
+    # at most the square of CENTROIDS' bound in rows
     counts = np.zeros(len(centres[0]) * len(centres[1]), np.int64)
     for r in placed.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
@@ -131,7 +140,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, share: float = SH
             yield pd.DataFrame(rows, columns=["grp", "query", "q", "visited"])
 
     asked = queries.groupBy("v").agg(F.min("vec_id").alias("entry"))  # equal queries are one
-    visits = asked.mapInPandas(walks, "grp int, query long, q array<double>, visited array<int>").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    spread = max(spark.sparkContext.defaultParallelism, blocks * QUERY_BLOCK // 256)
+    visits = asked.repartition(spread, "entry").mapInPandas(walks, "grp int, query long, q array<double>, visited array<int>").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
     groups = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in range(len(counts))], "cell int, f int, p int")
     index = placed.join(F.broadcast(groups), "cell").select("cell", "entry", "ids", "v", (F.col("f") + F.pmod(F.xxhash64("entry"), F.col("p"))).cast("int").alias("grp"))
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -139,15 +149,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, share: float = SH
     def nearest(left, right):
         if not len(left) or not len(right):
             return pd.DataFrame({"query": [], "vec_id": [], "score": []})
-        m = np.stack(right["v"])
-        norms, cell = np.sqrt((m * m).sum(1)), right["cell"].to_numpy()
-        out = []
+        m, cell = _scaled(np.stack(right["v"])), right["cell"].to_numpy()
+        norms = np.sqrt((m * m).sum(1))
+        out, seen = [], np.zeros(len(plan.value[0]), bool)
         for a in range(0, len(left), 512):
             part = left.iloc[a : a + 512]
-            q = np.stack(part["q"])
+            q = _scaled(np.stack(part["q"]))
             s = (q @ m.T) / np.sqrt((q * q).sum(1))[:, None] / norms
-            for n in range(len(part)):
-                s[n, ~np.isin(cell, part["visited"].iloc[n])] = -np.inf
+            for n, cells in enumerate(part["visited"]):
+                seen[:] = False
+                seen[cells] = True
+                s[n, ~seen[cell]] = -np.inf
             top = min(k + 1, s.shape[1])
             floor = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
             qi, mi = np.nonzero((s >= floor[:, None] - 1e-12) & np.isfinite(s))
