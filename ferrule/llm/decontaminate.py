@@ -5,18 +5,19 @@ whole item scores 1 whatever the item's length, and one threshold serves all ite
 item and cut into blocks, each with its largest weight.
 
 Every document is cut into overlapping passages, twice the longest item long and one longest item apart, so an item
-copied whole lies whole in some passage. A passage is a query: (1) if its terms' largest weights don't add up to
-the threshold nothing is retrieved, (2) a block of items whose block-max weights don't add up to it is skipped, (3) items of the blocks
-that are left are scored exactly. These are the bounds of block-max WAND, evaluated for a batch of passages at once instead of by a
-pivot for each; no item at or over the threshold is missed. (4) A retrieved item counts if of the 5-word shingles of its question
-and of its answer each at least ``overlap`` are in the passage.
+copied whole lies whole in some passage. A passage is a query of block-max WAND: it has a cursor in the postings of each of its terms, in order of item.
+The pivot is the first item at which the largest weights of the terms so far add up to the threshold; no item before it can reach it. If the
+block-max weights at the pivot don't add up to the threshold either, cursors skip to the end of the pivot's block (or to the next cursor's item, if
+that comes first); else, if all of them stand at the pivot, it is scored exactly, and if not, those behind move up to it. The passages of a batch take these
+steps together, each with cursors and a pivot of its own, so a step is a few array operations. Every item at or over the threshold is
+retrieved, and it counts if of the 5-word shingles of its question and of its answer each at least ``overlap`` are in the passage.
 
 The index goes to executors in blocks of at most ``INDEX_BYTES`` of item text, one pass over the documents each; document
 frequencies and lengths are those of all items. An item without a separate answer is split: its last sentence, or, if there is one
 alone, its last third, is the answer.
 
-Null or empty text (document or item): no hits. Null ids are returned as such. Repeated items and rows: each is reported. Empty tables: no hits.
-Extra columns are kept by ``clean`` and ignored otherwise. Texts are processed whole.
+Null or empty text (document or item): no hits. Null ids are returned as such, ids of any type as they are. Repeated items and rows: each is
+reported. Empty tables: no hits. Extra columns are kept by ``clean`` and ignored otherwise, whatever their names. Texts are processed whole, at any length.
 """
 
 from __future__ import annotations
@@ -29,11 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 K1, B, THRESHOLD, OVERLAP, WORDS = 1.2, 0.75, 0.6, 0.8, 5
 BLOCK_ITEMS, INDEX_BYTES = 16, 16_000_000
 #: Text that is cut into passages at once; a single longer text is taken alone.
 CHUNK_BYTES = 3_000_000
+#: What rounding may take from a sum of weights.
+_SLACK = 1e-9
 _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
@@ -59,13 +63,6 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(w[:cut]), " ".join(w[cut:])
 
 
-def _gather(ptr: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all entries of these rows of a ragged table, and the row that each is of."""
-    n = ptr[rows + 1] - ptr[rows]
-    at = np.repeat(ptr[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return at, np.repeat(np.arange(len(rows)), n)
-
-
 class Index:
     """Block-max inverted index of items (item_id, question, answer)."""
 
@@ -88,31 +85,65 @@ class Index:
         self.blocks = max(1, -(-len(items) // BLOCK_ITEMS))
         self.top = np.zeros(n)
         np.maximum.at(self.top, self.term, self.impact)
-        # blocks of a term, and postings of such a block
-        key = self.term * self.blocks + self.item // BLOCK_ITEMS
-        keys, start = np.unique(key, return_index=True)
-        self.posting_ptr = np.append(start, len(key))
-        self.block = keys % self.blocks
-        self.block_max = np.maximum.reduceat(self.impact, start) if len(key) else np.zeros(0)
-        self.block_ptr = np.searchsorted(keys, np.arange(n + 1) * self.blocks)
+        # postings by (term, item), and the largest weight of each of a term's blocks
+        self.key = self.term * len(items) + self.item
+        self.term_ptr = np.searchsorted(self.term, np.arange(n + 1))
+        block = self.term * self.blocks + self.item // BLOCK_ITEMS
+        self.block_key, start, self.in_block = np.unique(block, return_index=True, return_inverse=True)
+        self.block_max = np.maximum.reduceat(self.impact, start) if len(start) else np.zeros(0)
         self.longest = max([1, *(len(q) + len(a) for q, a in self.parts)])
         self.shingles = [[_shingles(x) for x in p] for p in self.parts]
 
-    def retrieve(self, passage: np.ndarray, term: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """passage, item, score of all at or over ``threshold``, from distinct (passage, term) pairs of ``n`` passages."""
-        low = threshold - 1e-9
-        live = np.bincount(passage, self.top[term], n) >= low
-        keep = live[passage]
+    def _block_weight(self, term: np.ndarray, cursor: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The largest weight of each term in the block that would hold each item; 0 if it has no posting there."""
+        want = term * self.blocks + item // BLOCK_ITEMS
+        at = self.in_block[cursor]
+        far = np.flatnonzero(self.block_key[at] < want)
+        at[far] = np.minimum(np.searchsorted(self.block_key, want[far]), len(self.block_key) - 1)
+        return np.where(self.block_key[at] == want, self.block_max[at], 0.0)
+
+    def _advance(self, term: np.ndarray, cursor: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Where each cursor stands after moving on to the first posting of its term at ``item`` or later."""
+        want = term * len(self.ids) + item
+        at = cursor + (self.key[cursor] < want)
+        far = np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] < want)
+        at[far] = np.searchsorted(self.key, want[far])
+        return at
+
+    def retrieve(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """passage, item, score of all at or over ``threshold``, from distinct (passage, term) pairs in order of passage."""
+        low, items, out = threshold - _SLACK, len(self.ids), []
+        keep = (np.bincount(passage, self.top[term])[passage] >= low) & (self.top[term] > 0) if len(passage) else np.zeros(0, bool)
         passage, term = passage[keep], term[keep]
-        at, of = _gather(self.block_ptr, term)
-        key, inverse = np.unique(passage[of] * self.blocks + self.block[at], return_inverse=True)
-        keep = (np.bincount(inverse, self.block_max[at], len(key)) >= low)[inverse]
-        at, of = at[keep], of[keep]
-        where, row = _gather(self.posting_ptr, at)
-        key, inverse = np.unique(passage[of[row]] * len(self.ids) + self.item[where], return_inverse=True)
-        score = np.bincount(inverse, self.impact[where], len(key))
-        hit = score >= low
-        return key[hit] // len(self.ids), key[hit] % len(self.ids), score[hit]
+        cursor, end = self.term_ptr[term], self.term_ptr[term + 1]
+        item = self.item[cursor]
+        while len(passage):
+            order = np.argsort(passage * (items + 1) + item, kind="stable")
+            passage, term, cursor, end, item = passage[order], term[order], cursor[order], end[order], item[order]
+            first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+            size = np.diff(np.append(first, len(passage)))
+            of = np.repeat(np.arange(len(first)), size)
+            weight = np.cumsum(self.top[term])
+            upto = weight - np.repeat(weight[first] - self.top[term[first]], size)
+            pivot = np.minimum.reduceat(np.where(upto >= low, np.arange(len(passage)), len(passage)), first)
+            going = pivot < len(passage)
+            at = item[np.minimum(pivot, len(passage) - 1)]
+            before = going[of] & (item <= at[of])  # cursors up to the pivot
+            bound = np.bincount(of[before], self._block_weight(term[before], cursor[before], at[of[before]]), len(first))
+            fits = going & (bound >= low)
+            ready = fits & (item[first] == at)
+            scored = before & ready[of]
+            score = np.bincount(of[scored], self.impact[cursor[scored]], len(first))
+            hit = ready & (score >= low)
+            out.append((passage[first][hit], at[hit], score[hit]))
+            after = np.minimum.reduceat(np.where(item > at[of], item, items), first)
+            target = np.where(ready, at + 1, np.where(fits, at, np.minimum(after, (at // BLOCK_ITEMS + 1) * BLOCK_ITEMS)))
+            moved = np.flatnonzero(before)
+            cursor[moved] = np.minimum(end[moved], self._advance(term[moved], cursor[moved], np.minimum(target[of[moved]], items)))
+            left = going[of] & (cursor < end)
+            passage, term, cursor, end = passage[left], term[left], cursor[left], end[left]
+            item = self.item[cursor]
+        return tuple(np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in range(3))
 
     def hits(self, texts: pa.Array, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, int, float, float, float]]:
         """text, item, score, question overlap, answer overlap; the best passage of each text and item."""
@@ -135,7 +166,7 @@ class Index:
         of = np.repeat(np.arange(len(some)), n)
         at = known[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         pairs = np.unique(of * len(self.vocabulary) + codes[at])
-        passage, item, score = self.retrieve(pairs // len(self.vocabulary), pairs % len(self.vocabulary), len(some), threshold)
+        passage, item, score = self.retrieve(pairs // len(self.vocabulary), pairs % len(self.vocabulary), threshold)
         best: dict[tuple[int, int], tuple] = {}
         for p, k, s in zip(some[passage].tolist(), item.tolist(), score.tolist(), strict=True):
             q, a = (_overlap(x, codes[begin[p] : end[p]]) for x in self.shingles[k])
@@ -161,7 +192,6 @@ def _overlap(part: tuple[int, set], passage: np.ndarray) -> float:
 
 def build(items: DataFrame):
     """Yields an ``Index`` for each block of the items (item_id, text)."""
-    split = F.udf(lambda t: split_item(t), "question string, answer string")
     text = items.where(F.length(F.trim("text")) > 0).select("item_id", "text")
     size, n = text.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     if not n:
@@ -181,9 +211,9 @@ def build(items: DataFrame):
     cut = text.withColumn("_block", F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)))
     for k in range(blocks):
         own = cut.where(F.col("_block") == k).drop("_block")
-        rows = own.withColumn("x", split("text")).select("item_id", "x.question", "x.answer").orderBy("item_id", "question", "answer").collect()
+        rows = [(r["item_id"], *split_item(r["text"])) for r in own.orderBy("item_id", "text").collect()]
         counts = df.join(own.mapInArrow(terms, "term string, length long").select("term").distinct(), "term", "left_semi").collect()
-        yield Index([tuple(r) for r in rows], {r["term"]: float(np.log(1 + (n - r["count"] + 0.5) / (r["count"] + 0.5))) for r in counts}, mean)
+        yield Index(rows, {r["term"]: float(np.log(1 + (n - r["count"] + 0.5) / (r["count"] + 0.5))) for r in counts}, mean)
 
 
 def _chunks(texts: pa.Array):
@@ -200,7 +230,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overla
     """doc_id, item_id, score, question_overlap, answer_overlap of every contamination."""
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", items.schema["item_id"].dataType), *(T.StructField(x, T.DoubleType()) for x in ("score", "question_overlap", "answer_overlap"))])
-    out = spark.createDataFrame([], schema)
+    out, kind = spark.createDataFrame([], schema), to_arrow_type(items.schema["item_id"].dataType)
     for index in build(items):
         shared = spark.sparkContext.broadcast(index)
 
@@ -210,9 +240,8 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overla
                 for at, texts in _chunks(batch.column("text")):
                     hits = own.hits(texts, threshold, overlap)
                     doc = batch.column("doc_id").take(pa.array([at + h[0] for h in hits], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([doc, pa.array([own.ids[h[1]] for h in hits], schema_item), *(pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4))], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([doc, pa.array([own.ids[h[1]] for h in hits], kind), *(pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4))], names=schema.names)
 
-        schema_item = pa.int64() if isinstance(items.schema["item_id"].dataType, (T.LongType, T.IntegerType)) else pa.string()
         out = out.unionAll(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema))
     return out
 
