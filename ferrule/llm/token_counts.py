@@ -3,9 +3,9 @@
 Documents are counted by length inside each batch before anything is shuffled, so what moves is one row per
 length and task. For each length that occurs, the table says how many documents are that long, at most and at
 least that long, how many ids they have, and how many ids remain if every document is truncated there. A limit
-between two lengths is answered by ``at_limits``, a quantile by ``quantiles``, both from the table alone.
+between two lengths is answered by ``at_limits``, a quantile by ``quantiles``, both by one row of the table.
 
-Null text: length ``end`` (0 by default). Empty table: no rows. Repeated rows count each. Other columns are ignored.
+Null text: length ``end`` (0 by default). Empty table: no rows. Repeated rows count each. Other columns are ignored. Texts of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -49,16 +49,20 @@ def totals(hist: DataFrame) -> DataFrame:
 
 
 def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
-    """limit, docs_over, tokens_truncated, tokens_lost for each of ``limits``, from what ``totals`` gave."""
-    spark = table.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "limit long")
-    ask = F.broadcast(asked)
-    kept = table.join(ask, F.lit(True)).groupBy("limit").agg(
-        F.sum(F.when(F.col("n_tokens") > F.col("limit"), F.col("n_docs")).otherwise(0)).alias("docs_over"),
-        F.sum(F.least("n_tokens", "limit") * F.col("n_docs")).alias("tokens_truncated"),
-        F.sum(F.greatest(F.col("n_tokens") - F.col("limit"), F.lit(0)) * F.col("n_docs")).alias("tokens_lost"),
-    )
-    return asked.join(kept, "limit", "left").fillna(0)
+    """limit, docs_over, tokens_truncated, tokens_lost for each of ``limits``, from the suffix sums that ``totals`` gave.
+
+    The shortest length over a limit has, as its suffix sums, all documents and all ids over it: one row answers a limit, and all of
+    these rows are found in one pass that keeps a row a limit.
+    """
+    limits = sorted({int(x) for x in limits})
+    if not limits:
+        return table.sparkSession.createDataFrame([], "limit long, docs_over long, tokens_truncated long, tokens_lost long")
+    over = [F.min(F.when(F.col("n_tokens") > x, F.struct("n_tokens", "docs_ge", "tokens_ge"))).alias(f"_{k}") for k, x in enumerate(limits)]
+    found = table.agg(F.max("docs_ge").alias("_n"), F.max("tokens_ge").alias("_t"), *over)
+    each = F.explode(F.array(*(F.struct(F.lit(x).cast("long").alias("limit"), F.coalesce(F.col(f"_{k}.docs_ge"), F.lit(0)).alias("docs_over"), F.coalesce(F.col(f"_{k}.tokens_ge"), F.lit(0)).alias("ids_over")) for k, x in enumerate(limits))))
+    rows = found.select(F.coalesce("_t", F.lit(0)).alias("_t"), each.alias("x")).select("_t", "x.*")
+    lost = F.col("ids_over") - F.col("docs_over") * F.col("limit")
+    return rows.select("limit", F.col("docs_over").cast("long").alias("docs_over"), (F.col("_t") - lost).cast("long").alias("tokens_truncated"), lost.cast("long").alias("tokens_lost"))
 
 
 def quantiles(table: DataFrame, shares: list[float]) -> dict[float, int]:
