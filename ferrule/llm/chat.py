@@ -34,8 +34,9 @@ def maximal(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns of the conversations that prefix no longer one."""
     p = prefixes(turns).select("conv_id", "i", "h1", "h2", "last")
     inner = p.where(~F.col("last")).select("i", "h1", "h2").distinct()
-    whole = p.where("last").join(inner, ["i", "h1", "h2"], "left_anti")
-    return whole.groupBy("i", "h1", "h2").agg(F.min("conv_id").alias("conv_id")).select("conv_id", (F.col("i") + 1).cast("long").alias("n_turns"))
+    # one row for all conversations that are equal, before they meet the prefixes: no hash has more than a row on either side
+    whole = p.where("last").groupBy("i", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
+    return whole.join(inner, ["i", "h1", "h2"], "left_anti").select("conv_id", (F.col("i") + 1).cast("long").alias("n_turns"))
 
 
 def render(turns: DataFrame) -> DataFrame:
