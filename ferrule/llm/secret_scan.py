@@ -1,7 +1,7 @@
 """Secret scans over a ledger of blobs, in DataFrame functions only.
 
 A version of a file is named by the SHA-256 of its text. The ledger holds every (blob, rule@version) pair that
-was ever scanned, with what was found; a scan takes the blobs for which some pair is missing, one text a blob, applies just
+was ever scanned (a row a blob and scan, with the scan's rules), with what was found; a scan takes the blobs for which some pair is missing, one text a blob, applies just
 the missing rules, and joins findings back to every path that holds the blob. Raising a rule's version makes its pairs unseen again.
 
 Positions come from the lengths of the matches and of the text between them, so no text leaves its first stage.
@@ -15,10 +15,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ferrule.llm.shared import materialise, shared_dir
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -72,34 +74,48 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFr
     if ledger is None:
         return blobs.withColumn("todo", F.lit(None).cast("array<string>"))
     names = F.array(*(F.lit(r.name) for r in rules))
-    seen = ledger.where(F.col("rule").isin([r.name for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("_seen"))  # one of few names each
+    seen = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("_seen"))  # no pair is there twice
     todo = F.array_except(names, F.coalesce("_seen", F.array().cast("array<string>")))
     return blobs.join(seen, "blob", "left").select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0)
 
 
+#: ``rules``: the names applied by the scan that wrote the row; ``found``: all that they found, rule by rule.
+LEDGER = "blob string, rules array<string>, found array<struct<rule:string,start:bigint,end:bigint>>"
+
+
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """blob, kind, version, no (of the rule), start, end of every finding in ``unseen`` blobs."""
+    """Rows of the ledger for ``unseen`` blobs: one a blob, whether something was found or not."""
     wanted = lambda r: F.col("todo").isNull() | F.array_contains("todo", r.name)
-    found = blobs.select("blob", F.explode(F.concat(*(_raw(F.col("text"), k, r, wanted(r)) for k, r in enumerate(rules)))).alias("x")).select("blob", "x.*")
-    upto = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("blob", "no").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
-    placed = found.withColumn("end", upto).withColumn("start", F.col("end") - F.col("size"))
+    names = F.array(*(F.lit(r.name) for r in rules))
+    raw = blobs.select("blob", F.coalesce("todo", names).alias("rules"), F.explode_outer(F.concat(*(_raw(F.col("text"), k, r, wanted(r)) for k, r in enumerate(rules)))).alias("x")).select("blob", "rules", "x.*")
+    # all of it is dealt by blob already, so nothing is shuffled after the texts
+    upto = F.sum(F.col("gap").cast("long") + F.col("size")).over(W.partitionBy("blob", "no").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
     least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("no") + 1)
-    return placed.where(F.col("held") >= least).select("blob", "kind", "version", "no", "start", "end")
+    placed = raw.withColumn("end", upto).withColumn("x", F.when(F.col("held") >= least, F.struct(F.element_at(names, F.col("no") + 1).alias("rule"), (F.col("end") - F.col("size")).alias("start"), "end")))
+    return placed.groupBy("blob").agg(F.first("rules").alias("rules"), F.sort_array(F.collect_list("x")).alias("found")).select("blob", "rules", F.col("found").cast("array<struct<rule:string,start:bigint,end:bigint>>").alias("found"))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger in the folder ``path``; without rows if nothing was written there yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
-def update(ledger: DataFrame | None, blobs: DataFrame, found: DataFrame, rules=RULES) -> DataFrame:
-    """The ledger (blob, rule, spans) after this scan: one row a pair, found or not."""
-    todo = F.coalesce("todo", F.array(*(F.lit(r.name) for r in rules)))
-    pairs = blobs.select("blob", F.explode(todo).alias("rule"))
-    spans = found.groupBy("blob", F.concat_ws("@", "kind", "version").alias("rule")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    new = pairs.join(spans, ["blob", "rule"], "left")
-    return new if ledger is None else ledger.unionByName(new)
+def record(versions: DataFrame, path: str, rules=RULES) -> DataFrame:
+    """Scans the pairs of ``versions`` that the ledger in ``path`` lacks, appends them to it, and returns the ledger."""
+    known = read_ledger(versions.sparkSession, path)
+    blobs = unseen(versions, known if known.take(1) else None, rules)
+    scan(blobs, rules).write.mode("append").parquet(path)
+    return read_ledger(versions.sparkSession, path)
 
 
 def findings(ledger: DataFrame, rules=RULES) -> DataFrame:
-    """What the ledger holds for these rules, one row a finding, as ``scan`` gives it."""
+    """blob, kind, version, no (of the rule), start, end of what the ledger holds for these rules, one row a finding."""
     of = ledger.sparkSession.createDataFrame([(r.name, r.kind, r.version, k) for k, r in enumerate(rules)], "rule string, kind string, version int, no int")
-    return ledger.join(F.broadcast(of), "rule").select("blob", "kind", "version", "no", F.explode("spans").alias("s")).select("blob", "kind", "version", "no", "s.start", "s.end")
+    each = ledger.select("blob", F.explode("found").alias("x")).select("blob", "x.*")
+    return each.join(F.broadcast(of), "rule").select("blob", "kind", "version", "no", "start", "end")
 
 
 def by_path(versions: DataFrame, found: DataFrame, path: str = "doc_id", rules=RULES) -> DataFrame:
@@ -111,11 +127,13 @@ def by_path(versions: DataFrame, found: DataFrame, path: str = "doc_id", rules=R
         F.sort_array(F.collect_list(F.struct("start", "no", "end", "kind"))).alias("_all"),
     )
     own = own.select("blob", *(f"n_{rules[k].kind}" for k in base), spans(lambda x: x["no"].isin(base)).alias("_base"), spans(lambda x: F.lit(True)).alias("spans"))
+    own = materialise(own)  # written out, or the join would keep the aggregate's partitioning and Spark couldn't split a hot blob's paths
     paths = versions.select(path, blob_of().alias("blob"))
     joined = paths.join(own, "blob", "left")
     return joined.select(path, *(F.coalesce(f"n_{rules[k].kind}", F.lit(0).cast("long")).alias(f"n_{rules[k].kind}") for k in base), F.sha2(F.coalesce("_base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), "blob")
 
 
-def scan_all(versions: DataFrame, rules=RULES) -> DataFrame:
-    """A first scan, with an empty ledger."""
-    return by_path(versions, scan(unseen(versions, None, rules), rules), rules=rules)
+def scan_all(versions: DataFrame, path: str | None = None, rules=RULES) -> DataFrame:
+    """Findings by path, through the ledger in the folder ``path``, or through a new one in the shared folder."""
+    ledger = record(versions, path or shared_dir(versions.sparkSession), rules)
+    return by_path(versions, findings(ledger, rules), rules=rules)
