@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -37,6 +37,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *own: Column) -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, beside ``own``: whatever the names in ``docs``, none clashes with one of an operator's."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *own)
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns that ``packed`` put into ``row``, but for those of ``changed``."""
+    return df.select(*(changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in columns))
+
+
 def prefix_sum(df: DataFrame, index: str, value: str, out: str, block: int = 4096) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over all rows of a smaller ``index`` (distinct non-negative integers).
 

@@ -7,13 +7,15 @@ v is orthogonal to them all and mask v keeps none of the differing bits: the pai
 for certain. There are 2^(r+1)-1 tables (15 for r = 3), each of some 34 bits.
 
 Equal fingerprints are one node, so groups of exact copies cost nothing. A table's bucket of over ``SPLIT`` nodes
-is covered anew by 15 masks of another assignment, which keeps the guarantee; after ``DEPTH`` rounds a bucket's nodes agree in all but a
-few bits and so are few. A bucket gives a spanning forest of its links, not its pairs. Components grow by
+is covered anew by 15 masks of another assignment, which keeps the guarantee. A bucket's nodes agree in all bits
+that one of its rounds' masks keeps; after ``DEPTH`` = 3 rounds at most 14 bits are left in which they may differ (over all choices of three
+masks), so no bucket whatever has more than 2^14 nodes, and only one so dense would. A bucket gives a spanning forest of its links, not its pairs. Components grow by
 large and small stars, each round written to the shared folder.
 
 Null and empty text: fingerprint zero, linked like any other. Null doc_id: fingerprinted; it never names a component
 unless all of its documents have none. Components of unrelated texts stay apart where their doc_ids are null or repeated, though
-their name, the smallest doc_id, is then the same. Repeated rows are returned each. Empty table: no rows. Extra columns are ignored.
+their name, the smallest doc_id, is then the same. Repeated rows are returned each. Empty table: no rows. Extra columns are ignored,
+and kept by ``keep_one``, whatever their names. Very long texts are hashed whole, 2^18 shingles at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.shared import materialise
+from ferrule.llm.shared import materialise, packed, unpacked
 
 WORDS, SEED, RADIUS, BITS = 3, 42, 3, 64
 SPLIT, DEPTH = 64, 3
@@ -184,5 +186,5 @@ def group(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = R
 def keep_one(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """One row of each component, that of the smallest doc_id; of rows that tie, one."""
     _, first = _components(materialise(fingerprints(docs, words, seed)), radius)
-    kept = docs.select("*", *_key()).join(first.select("first._k1", "first._k2"), ["_k1", "_k2"], "left_semi")
-    return kept.dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    kept = packed(docs, *_key()).join(first.select("first._k1", "first._k2"), ["_k1", "_k2"], "left_semi")
+    return unpacked(kept.dropDuplicates(["_k1", "_k2"]), docs.columns)
