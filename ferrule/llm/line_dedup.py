@@ -1,19 +1,20 @@
 """Deletion of later copies of repeated line runs, in DataFrame functions only.
 
 The corpus is a set of sequences of lines, a line being its text without blanks at its ends; blank lines are passed over. Its suffixes
-are sorted by distributed prefix doubling with discarding: rank j names the 2^j lines that a suffix starts with,
-by joining its own rank j-1 with that of the suffix 2^(j-1) lines on. A suffix whose name is unique is where its
-longest common prefix ends, and leaves the rounds; those that remain under one name are an interval of the suffix
-array with a common prefix of at least 2^j lines.
-
-A run counts if it has ``min_words`` words or more. Every such run is a union of its shortest qualifying
-windows, forward from each line and backward from each line. Two overlapping ranks name a window of any length (lines from its start, and lines up to
-its end), so each window finds its interval by one look-up, and the interval's first member in (doc_id, place) order. A window that isn't the
-first is a later copy. Later windows that touch merge into a document's maximal repeated runs, and these go. As a line has a word at least, a
-window has at most ``min_words`` lines and doubling ends after log2 of that, however long the copies are.
+are sorted by distributed prefix doubling: rank j is a suffix's place in the order of all suffixes by their first 2^j lines. Rank 0 sorts line IDs; rank j
+sorts the pairs of a suffix's own rank j-1 and that of the suffix 2^(j-1) lines on. Distinct pairs are sorted by a range partitioning, so no task
+sorts more than its share, and a place is the task's number and the row's in it: in order and never equal, if not dense. Suffixes with a rank that is theirs
+alone are discarded, as nothing longer of theirs is repeated; those left under one rank j are an interval of the suffix array with a longest common prefix of at least 2^j lines.
+
+A run counts if it has ``min_words`` words or more. Each suffix asks for its interval at the depth where it has enough words, m lines: those with its
+rank at m's largest power of two, 2^j, and with its rank j at the last 2^j of these m lines. Two suffixes share both if and only if their longest common prefix has m
+lines or more, so this is the interval itself, found without laying out the prefix lengths between neighbours; as a line has a word at least, no interval deeper than
+``min_words`` lines is asked for and doubling ends there, however long the copies are. So that runs that end with a document are found too, the
+shortest window that ends at each line asks in the same way. Of an interval the first member in (doc_id, place) order stays; the others are later
+copies. Later windows that touch merge into a document's maximal repeated runs, and these go.
 
 Null text: kept as it is, no lines. Null doc_id: sorts before all. Rows with the same doc_id and text are one document: all get its verdict, and
-they are no copies of each other. Empty table: no rows. Very long texts are processed whole. Extra columns are kept.
+they are no copies of each other. Empty table: no rows. Very long texts are processed whole. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ferrule.llm.shared import materialise
+from ferrule.llm.shared import materialise, packed, unpacked
 
 MIN_WORDS = 50
 _KEY = ["d", "th"]
@@ -40,24 +41,29 @@ def lines(docs: DataFrame) -> DataFrame:
     return flat.select("d", "th", "q", "x.at", F.xxhash64(F.lit(1), "x.s").alias("a"), F.xxhash64(F.lit(2), "x.s").alias("b"), words.cast("long").alias("w"))
 
 
-def _shared(named: DataFrame) -> DataFrame:
-    """Rows whose name (a, b) isn't theirs alone. The names are written first: joined as an aggregate they would
-    keep its partitioning, and Spark can't split a hot name's rows then."""
-    more = materialise(named.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("a", "b"))
-    return named.join(more, ["a", "b"])
+def _ranked(suffixes: DataFrame, key: list[str]) -> DataFrame:
+    """d, th, q, r of the suffixes whose ``key`` isn't theirs alone; ``r`` is in the order of ``key``, and equal where it is.
+
+    The sorted keys are written first: joined as an aggregate they would keep its partitioning, and Spark can't split a hot key's rows then.
+    """
+    more = suffixes.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key)
+    order = materialise(more.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("r", F.monotonically_increasing_id()))
+    return suffixes.join(order, key).drop(*key)
+
 
+def ranks(suffixes: DataFrame, most: int) -> list[DataFrame]:
+    """d, th, q, r: ranks of the suffixes by their first 1, 2, 4, ... lines, for those that share these, up to ``most`` lines.
 
-def ranks(active: DataFrame, most: int) -> list[DataFrame]:
-    """Names of the 1, 2, 4, ... lines that each suffix starts with, for suffixes that share them, up to ``most`` lines."""
-    out = [active.select("d", "th", "q", "a", "b")]
+    ``suffixes``: d, th, q, r (rank of the line).
+    """
+    out = [suffixes.select("d", "th", "q", "r")]
     while 2 ** len(out) <= most:
         step = 2 ** (len(out) - 1)
-        x, y = out[-1], out[-1].select("d", "th", (F.col("q") - step).alias("q"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        pair = x.join(y, ["d", "th", "q"]).select("d", "th", "q", *(F.xxhash64(F.lit(k), F.lit(len(out)), "a", "b", "a2", "b2").alias(n) for k, n in ((1, "a"), (2, "b"))))
-        longer = materialise(_shared(pair))
+        pairs = out[-1].withColumnRenamed("r", "r1").join(out[-1].select("d", "th", (F.col("q") - step).alias("q"), F.col("r").alias("r2")), ["d", "th", "q"])
+        longer = materialise(_ranked(pairs, ["r1", "r2"]).select("d", "th", "q", "r"))
         if not longer.take(1):
             break
-        out.append(longer.select("d", "th", "q", "a", "b"))
+        out.append(longer)
     return out
 
 
@@ -72,23 +78,29 @@ def _windows(active: DataFrame, min_words: int) -> DataFrame:
     return forward.unionByName(backward).where((F.col("n") >= min_words) & (F.col("z") - F.col("s") + 1 == F.col("m"))).drop("n", "z").distinct()
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """d, th, runs: array of (a, b), first and last line (places among all lines) of each maximal later copy."""
-    all_lines = materialise(lines(docs))
-    active = materialise(_shared(all_lines).dropDuplicates(["d", "th", "q"]))
+def lcp_intervals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """d, th, s (first line), m (lines), at_from, at_to, first (d, th, s): every window of ``_windows`` that occurs more than once, with the
+    first member of its interval of the suffix array at depth m."""
+    each = materialise(lines(docs))
+    # rows that agree in doc_id and text are one document
+    active = materialise(_ranked(each, ["a", "b"]).dropDuplicates(["d", "th", "q"]))
     level = ranks(active, min_words)
     windows = _windows(active, min_words).withColumn("j", F.floor(F.log2("m")).cast("int"))
-    names = level[0].withColumn("j", F.lit(0))
+    rank = level[0].withColumn("j", F.lit(0))
     for k, x in enumerate(level[1:], 1):
-        names = names.unionByName(x.withColumn("j", F.lit(k)))
-    # m = 1, 2, 4, ...: the two ranks are one
-    end = F.col("s") + F.col("m") - F.pow(F.lit(2), F.col("j")).cast("long")
-    left = names.select("d", "th", "j", F.col("q").cast("long").alias("s"), F.col("a").alias("la"), F.col("b").alias("lb"))
-    right = names.select("d", "th", "j", F.col("q").cast("long").alias("r"), F.col("a").alias("ra"), F.col("b").alias("rb"))
-    named = materialise(windows.withColumn("s", F.col("s").cast("long")).join(left, ["d", "th", "j", "s"]).withColumn("r", end).join(right, ["d", "th", "j", "r"]))
-    name = ["m", "la", "lb", "ra", "rb"]
-    first = named.groupBy(*name).agg(F.min(F.struct("d", "th", "s")).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    later = named.join(first, name).where(F.struct("d", "th", "s") > F.col("first")).select("d", "th", "s", "m", "at_from", "at_to")
+        rank = rank.unionByName(x.withColumn("j", F.lit(k)))
+    last = F.col("s") + F.col("m") - F.pow(F.lit(2), F.col("j")).cast("long")
+    left = rank.select("d", "th", "j", F.col("q").cast("long").alias("s"), F.col("r").alias("r1"))
+    right = rank.select("d", "th", "j", F.col("q").cast("long").alias("_l"), F.col("r").alias("r2"))
+    asked = materialise(windows.withColumn("s", F.col("s").cast("long")).join(left, ["d", "th", "j", "s"]).withColumn("_l", last).join(right, ["d", "th", "j", "_l"]).drop("j", "_l"))
+    name = ["m", "r1", "r2"]
+    first = materialise(asked.groupBy(*name).agg(F.min(F.struct("d", "th", "s")).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    return asked.join(first, name).drop("r1", "r2")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """d, th, runs: array of (a, b), first and last line (places among all lines) of each maximal later copy."""
+    later = lcp_intervals(docs, min_words).where(F.struct("d", "th", "s") > F.col("first"))
     order = W.partitionBy(*_KEY).orderBy("s", "m")
     reach = F.max(F.col("s") + F.col("m")).over(order.rowsBetween(W.unboundedPreceding, -1))
     starts = later.withColumn("_new", (reach.isNull() | (F.col("s") > reach)).cast("int"))
@@ -98,25 +110,23 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def delete_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``text`` rewritten, and line_runs: the (first, last) lines deleted, null if none."""
-    own = [c for c in docs.columns if c != "text"]
-    runs = materialise(repeated_runs(docs, min_words)).select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.col("runs").alias("line_runs"))
+    """row (a struct of the columns of ``docs``), text (rewritten), runs: the (first, last) lines deleted, null if none."""
+    runs = materialise(repeated_runs(docs, min_words))
     d, th = _keys()
-    keyed = docs.select("*", d.alias("_kd"), th.alias("_kt"))
-    joined = keyed.join(runs.hint("shuffle_hash"), (F.col("_kd") == F.col("_d")) & (F.col("_kt") == F.col("_th")), "left")
-    gone = lambda i: F.exists("line_runs", lambda r: (i >= r["a"]) & (i <= r["b"]))
-    text = F.when(F.col("line_runs").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~gone(i)), "\n"))
-    return joined.select(*own, text.alias("text"), "line_runs")
+    joined = packed(docs, d, th).join(runs.hint("shuffle_hash"), _KEY, "left")
+    gone = lambda i: F.exists("runs", lambda r: (i >= r["a"]) & (i <= r["b"]))
+    own = F.col("row.text")
+    return joined.select("row", F.when(F.col("runs").isNull(), own).otherwise(F.array_join(F.filter(F.split(own, "\n", -1), lambda x, i: ~gone(i)), "\n")).alias("text"), "runs")
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_deleted (lines), runs (as from-to,...), text."""
     r = delete_copies(docs.select("doc_id", "text"), min_words)
-    n = F.aggregate("line_runs", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"] + 1)
-    return r.select("doc_id", F.coalesce(n, F.lit(0).cast("long")).alias("n_deleted"), F.coalesce(F.array_join(F.transform("line_runs", lambda x: F.concat_ws("-", x["a"], x["b"])), ","), F.lit("")).alias("runs"), "text")
+    n = F.aggregate("runs", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"] + 1)
+    return r.select("row.doc_id", F.coalesce(n, F.lit(0).cast("long")).alias("n_deleted"), F.coalesce(F.array_join(F.transform("runs", lambda x: F.concat_ws("-", x["a"], x["b"])), ","), F.lit("")).alias("runs"), "text")
 
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The columns of ``docs``, later copies deleted; a document of which nothing but blanks remains goes."""
     r = delete_copies(docs, min_words)
-    return r.where(F.col("line_runs").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    return unpacked(r.where(F.col("runs").isNull() | F.col("text").rlike(r"\S")), docs.columns, text=F.col("text"))
