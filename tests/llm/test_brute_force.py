@@ -1,0 +1,363 @@
+"""Operators and the pipeline against the sequential versions of ``brute``, and the cases that broke them once."""
+
+import hashlib
+import zlib
+from collections import Counter
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from ferrule.llm import chat, decontaminate, language_id, line_dedup, neighbours, packing, secret_scan, simhash, token_counts, token_files, tokens
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def docs_of(spark, texts, first=1):
+    return spark.createDataFrame([(k + first, t) for k, t in enumerate(texts)], "doc_id long, text string")
+
+
+# --- token files
+@pytest.mark.parametrize("texts", [["hi there"], [None, None], ["", None, "a"], ["same words here"] * 30])
+def test_token_files_too_small_for_a_dictionary(spark, texts, tmp_path):
+    d = docs_of(spark, texts)
+    manifest = token_files.write(d, str(tmp_path))
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.read(spark, str(tmp_path), manifest).collect()}
+    enc = tokens.encoder()
+    for k, t in enumerate(texts, 1):
+        ids = np.array([*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
+        assert token_files.lookup(str(tmp_path), manifest.first()["name"], k)[0].tolist() == ids.tolist()
+
+
+def test_token_files_in_many_ranges_and_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE_DOCS", 9)
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 300)
+    r = np.random.RandomState(2)
+    texts = [" ".join(f"w{x}" for x in r.randint(0, 500, r.randint(0, 120))) for _ in range(100)]
+    ids = sorted({int(x) for x in r.randint(-(2**60), 2**60, 200)})[:98]
+    rows = [*zip(r.permutation(ids).tolist(), texts, strict=False), (None, texts[98]), (ids[0], texts[99])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_files.write(d, str(tmp_path))
+    assert manifest.count() > 20 and manifest.agg({"part": "max"}).first()[0] > 0 and manifest.select("place").distinct().count() > 5
+    got = sorted(token_files.read(spark, str(tmp_path), manifest).collect(), key=lambda x: x["start"])
+    assert [x["doc_id"] for x in got] == sorted((x for x, _ in rows), key=lambda x: -(2**63) if x is None else x)
+    enc, at = tokens.encoder(), 0
+    for x in got:
+        assert x["start"] == at
+        at += x["n_tokens"]
+    want = Counter((i, zlib.crc32(np.array([*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, t in rows)
+    assert Counter((x["doc_id"], x["ids_crc32"]) for x in got) == want
+    for m in manifest.collect()[::7]:
+        whole = (tmp_path / m["name"]).read_bytes()
+        own, counts, _, digest = token_files._index(memoryview(whole))
+        assert (tmp_path / f"{digest}.zdict").exists() == (digest != token_files.NO_DICTIONARY) and counts.sum() == m["n_tokens"]
+        if digest != token_files.NO_DICTIONARY:
+            assert hashlib.sha256((tmp_path / f"{digest}.zdict").read_bytes()).hexdigest() == digest
+        doc = own[len(own) - 1].as_py()
+        assert doc is None or counts[-1] in {len(x) for x in token_files.lookup(str(tmp_path), m["name"], doc)}
+
+
+# --- token counts
+def test_token_counts_at_limits_and_quantiles(spark, real):
+    table = token_counts.totals(token_counts.histogram(real)).cache()
+    enc = tokens.encoder()
+    sizes = np.array([len(enc.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in real.collect()])
+    for r in table.collect():
+        n = r["n_tokens"]
+        assert r["tokens_lost"] == np.maximum(sizes - n, 0).sum() and abs(r["quantile"] - (sizes <= n).mean()) < 1e-12
+    limits = [0, 1, 7, 128, 2048, 10**6]
+    got = {r["limit"]: (r["docs_over"], r["tokens_truncated"], r["tokens_lost"]) for r in token_counts.at_limits(table, limits).collect()}
+    assert got == {x: ((sizes > x).sum(), np.minimum(sizes, x).sum(), np.maximum(sizes - x, 0).sum()) for x in limits}
+    shares = [0.1, 0.5, 0.9, 1.0]
+    assert token_counts.quantiles(table, shares) == {q: np.sort(sizes)[int(np.ceil(round(q * len(sizes), 9))) - 1] for q in shares}
+    assert [tuple(r) for r in token_counts.at_limits(table.limit(0), [5]).collect()] == [(5, 0, 0, 0)] and token_counts.at_limits(table, []).count() == 0
+
+
+# --- neighbours
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    r = np.random.RandomState(5)
+    x = r.randn(200, 6)
+    scale = np.ones(200)
+    scale[::3], scale[1::3] = 1e200, 1e-290
+    t = spark.createDataFrame([(k, (v * s).tolist()) for k, (v, s) in enumerate(zip(x, scale, strict=True))], "vec_id long, embedding array<double>")
+    got = neighbours.search_table(t, share=1.0).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 200, 50):
+        s = u @ u[q]
+        s[q] = -9
+        own = sorted((g["rank"], g["vec_id"], g["score"]) for g in got if g["query_id"] == q)
+        assert [v for _, v, _ in own] == np.argsort(-s)[:5].tolist() and np.allclose([c for *_, c in own], np.sort(s)[::-1][:5], atol=1e-9)
+
+
+def test_neighbours_recall_on_small_tables(spark):
+    for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        t = spark.read.parquet(f"{d}/embeddings.parquet")
+        p = t.toPandas()
+        x, ids = np.stack(p["embedding"]).astype(float), p["vec_id"].to_numpy()
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        got = neighbours.search_table(t).toPandas().groupby("query_id")["vec_id"].agg(set)
+        hits = 0
+        for q, found in got.items():
+            s = u @ u[int(np.flatnonzero(ids == q)[0])]
+            s[ids == q] = -9
+            hits += len(found & set(ids[np.argsort(-s)[:5]].tolist()))
+        assert hits >= 0.9 * 5 * len(got)
+
+
+# --- language identification
+def test_code_lengths_equal_sequential_ppm():
+    r = np.random.RandomState(3)
+    texts = {x: [bytes(r.choice(list(a.encode()), 300)) for _ in range(3)] for x, a in (("a", "abc d"), ("b", "abxyé"), ("c", "ab"))}
+    model, plain = language_id.train(texts), brute.Ppm(texts, language_id.ORDER, language_id.MIN_CONTEXT)
+    for text in (b"", b"abc", b"xyz abc", "née QQ".encode(), bytes(r.choice(list(b"abcdxyz \xff"), 200))):
+        data = np.frombuffer(b"\0\0\0" + text, np.uint8)
+        whole = model.bits(data, np.array([0, len(data)]))[0]
+        assert np.allclose(whole, plain.bits(text), rtol=1e-12)
+        assert np.allclose(whole, model.bits(data, np.array([0, len(data)]), block=7)[0], rtol=1e-12)
+    # a bound on the table raises the count that a context needs
+    small = language_id.train(texts, table_bytes=8_000)
+    least = next(m for m in (language_id.MIN_CONTEXT * 2**k for k in range(20)) if len(brute.Ppm(texts, 3, m).kept) * small.symbols * 3 * 8 <= 8_000)
+    assert small.cost.nbytes <= 8_000 < model.cost.nbytes
+    assert np.allclose(small.bits(data, np.array([0, len(data)]))[0], brute.Ppm(texts, 3, least).bits(text), rtol=1e-12)
+
+
+def test_language_letters_are_category_l(spark):
+    odd = ["½ ² ①", "Ⅷ 12", "٣", "_", "1a", "ª", "日"]
+    train = [(1, "some words in a row " * 20, "en"), (3, "some more words of it " * 20, "en")]
+    d = spark.createDataFrame([*[(100 + k, t, None) for k, t in enumerate(odd)], *train], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(d).collect()}
+    assert [got[100 + k][0] for k in range(len(odd))] == ["und"] * 4 + ["en"] * 3 and got[100] == ("und", 0.0)
+
+
+def test_language_stage_rejects_by_its_score(spark):
+    english = "the words of a plain sentence are here and there "
+    noise = "".join(map(chr, np.random.RandomState(0).choice(np.arange(0x4E00, 0x9FFF), 300)))
+    d = spark.createDataFrame([(1, english * 9, "en"), (3, english * 9, "en"), (50, "are the words here", None), (51, noise, None), (52, "½ 12", None), (53, None, None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in language_id.accept(d).collect()} == {1, 3, 50}
+
+
+def test_language_training_takes_the_smallest_hashes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 7)
+    rows = [(k, f"{'abc' if k % 3 else 'xyz'} {k}", "a" if k % 3 else "b") for k in range(400)]
+    rows += [(2, f"again {k}", "a") for k in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(language_id, "train", lambda texts: seen.update(texts))
+    language_id.learn(d)
+    from pyspark.sql import functions as F
+
+    h = {r[0]: r[1] for r in d.select("doc_id", F.xxhash64("doc_id")).distinct().collect()}
+    for lang in "ab":
+        own = sorted({k for k, _, x in rows if x == lang and not brute.held_out(k)}, key=lambda k: (h[k], k))[:7]
+        assert len(seen[lang]) == 7 and {t.split()[-1] for t in map(bytes.decode, seen[lang])} - {str(k) for k in range(50)} <= {str(k) for k in own}
+
+
+# --- line dedup
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_equals_all_windows(spark, seed):
+    r = np.random.RandomState(seed)
+    vocab = ["", " ", "a", "b b", "c c c", "d " * 9, "e\t", " a"]
+    pool = [[vocab[k] for k in r.randint(0, len(vocab), r.randint(1, 12))] for _ in range(6)]
+    docs = []
+    for k in range(40):
+        lines = [x for _ in range(r.randint(0, 5)) for x in pool[r.randint(len(pool))]]
+        docs.append((k, "\n".join(lines) if k % 13 else None))
+    least = int(r.choice([3, 12, 25]))
+    gone = brute.line_runs(docs, least)
+    shortest = brute.line_runs(docs, least, every=False)
+    assert {k: v for k, v in shortest.items() if v} == {k: v for k, v in gone.items() if v}
+    got = {x["doc_id"]: (x["text"], x["n_deleted"]) for x in line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string"), least).collect()}
+    assert got == {k: (brute.without_lines(t, gone.get(k)), len(gone.get(k, ()))) for k, t in docs}
+
+
+def test_ranks_are_in_suffix_order(spark):
+    lines = [[1, 2, 1, 2, 3], [1, 2, 1, 2], [3, 1, 2, 1, 2], [9]]
+    d = spark.createDataFrame([(k, "\n".join(map(str, x))) for k, x in enumerate(lines)], "doc_id long, text string")
+    each = line_dedup.lines(d)
+    names = {(r["d"], r["q"]): (r["a"], r["b"]) for r in each.collect()}
+    first = line_dedup._ranked(each, ["a", "b"])
+    for j, level in enumerate(line_dedup.ranks(first, 4)):
+        n = 2**j
+        got = {(r["d"], r["q"]): r["r"] for r in level.collect()}
+        word = {k: tuple(names.get((k[0], k[1] + x)) for x in range(n)) for k in names}
+        often = Counter(w for w in word.values() if None not in w)
+        assert set(got) == {k for k, w in word.items() if often[w] > 1}
+        for x in got:
+            for y in got:
+                assert (got[x] < got[y]) == (word[x] < word[y]) and (got[x] == got[y]) == (word[x] == word[y])
+
+
+# --- SimHash
+def test_simhash_of_large_and_negative_ids(spark):
+    ids = [2**63 - 1, 2**62 + 5, -(2**63), 7]
+    d = spark.createDataFrame([(ids[0], "a b c d"), (ids[1], "a b c d"), (ids[2], "x y z"), (ids[3], "x y z"), (2**63 - 2, "alone here now")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.group(d).collect()}
+    assert got == {ids[0]: ids[1], ids[1]: ids[1], ids[2]: ids[2], ids[3]: ids[2], 2**63 - 2: 2**63 - 2}
+
+
+# --- decontamination
+def test_wand_retrieves_what_exhaustive_scoring_does(monkeypatch):
+    r = np.random.RandomState(0)
+    vocab = [f"w{k}" for k in range(60)]
+    for trial in range(40):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", int(r.choice([2, 4, 16])))
+        items = [(k, " ".join(r.choice(vocab, r.randint(0, 25))), " ".join(r.choice(vocab, r.randint(0, 8)))) for k in range(r.randint(1, 90))]
+        index = decontaminate.Index(items, {v: float(r.rand() * 3) for v in vocab}, 15.0)
+        n = len(index.vocabulary)
+        if not n:
+            continue
+        pairs = np.unique(np.repeat(np.arange(30), 20) * n + r.randint(0, n, 600))
+        weight, score = np.zeros((n, len(items))), np.zeros((30, len(items)))
+        weight[index.term, index.item] = index.impact
+        for p, t in zip(pairs // n, pairs % n, strict=True):
+            score[p] += weight[t]
+        for threshold in (0.2, 0.5, 0.8):
+            want = {(int(p), int(k)): score[p, k] for p, k in zip(*np.nonzero(score >= threshold - 1e-9), strict=True)}
+            got = {(int(p), int(k)): s for p, k, s in zip(*index.retrieve(pairs // n, pairs % n, threshold), strict=True)}
+            assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want), trial
+
+
+@pytest.mark.parametrize("index_bytes", [16_000_000, 900])
+def test_decontamination_equals_exhaustive(spark, real, index_bytes, monkeypatch):
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", index_bytes)
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    held = [(r["item_id"], r["text"]) for r in items.collect()]
+    planted = [(9000 + k, f"before it, {t} (after)") for k, (_, t) in enumerate(held[:9])] + [(9100, held[3][1][: len(held[3][1]) // 2])]
+    docs = [*[(r["doc_id"], r["text"]) for r in real.collect()], *planted]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    want = brute.contaminated(docs, held, decontaminate.split_item)
+    if index_bytes > 1000:
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) >= 9
+    else:  # several blocks of items, each with passages of its own length: planted items are found by each
+        assert {(9000 + k, held[k][0]) for k in range(9)} <= set(got) and {d for d, _ in got} <= {d for d, _ in want}
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "string", "decimal(10,0)", "date"])
+def test_decontamination_of_other_item_ids(spark, kind):
+    from pyspark.sql import functions as F
+
+    text = "Which river flows through the old city of stone? The answer is the slow green river named Aln."
+    own = F.lit("2020-01-07").cast("date") if kind == "date" else F.lit(7).cast(kind)
+    items = spark.createDataFrame([(text,)], "text string").select(own.alias("item_id"), "text")
+    d = spark.createDataFrame([(1, f"x {text} y"), (2, "none of it")], "doc_id int, text string")
+    got = decontaminate.find(d, items).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, items.first()["item_id"])]
+
+
+# --- secrets
+def test_secrets_equal_regular_expressions(spark, tmp_path):
+    r = np.random.RandomState(1)
+    parts = ["password", "Secret", "API_KEY", "apikey", '"', "'", ":", "=", " ", "\n", "AKIA", "ABCD1234" * 2, "deadbeef" * 3, "0f" * 13, "x", "é😀", "a+b/c_d.e-f", "token"]
+    texts = ["".join(r.choice(parts, r.randint(0, 60))) for _ in range(150)] + [None, "", "word " * 30_000 + "secret=abcdef123"]
+    texts += texts[:20]
+    d = docs_of(spark, texts)
+    got = {x["doc_id"]: x for x in secret_scan.scan_all(d, str(tmp_path / "ledger")).collect()}
+    kinds = ("assign", "access", "hex")
+    for k, t in enumerate(texts, 1):
+        found = brute.secrets(t)
+        spans = ",".join(f"{kinds[n]}:{a}:{b}" for a, n, b in found)
+        assert tuple(got[k][f"n_{x}"] for x in kinds) == tuple(sum(n == m for _, n, _ in found) for m in range(3))
+        assert got[k]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest() and set(filter(None, spans.split(","))) <= set(got[k]["spans"].split(","))
+
+
+def test_ledger_scans_only_what_is_unseen(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = lambda: sorted((r["blob"], tuple(r["rules"]), tuple(map(tuple, r["found"]))) for r in secret_scan.read_ledger(spark, path).collect())
+    one = docs_of(spark, ["secret=abcdefgh", "nothing", "nothing", None])
+    assert secret_scan.read_ledger(spark, path).count() == 0
+    first = secret_scan.scan_all(one, path).collect()
+    seen = rows()
+    assert len(seen) == 3 and [x[1] for x in seen] == [tuple(r.name for r in secret_scan.RULES)] * 3
+    assert sorted(secret_scan.scan_all(one, path).collect()) == sorted(first) and rows() == seen
+    two = docs_of(spark, ["nothing", "secret=abcdefgh", "token: 'zzzzzzzz'"], 10)
+    got = {r["doc_id"]: r["n_assign"] for r in secret_scan.scan_all(two, path).collect()}
+    assert got == {10: 0, 11: 1, 12: 1} and len(rows()) == 4
+    raised = (secret_scan.Rule("assign", 2, secret_scan.RULES[0].pattern, 2, 7, True), *secret_scan.RULES[1:])
+    got = {r["doc_id"]: r["n_assign"] for r in secret_scan.scan_all(two, path, raised).collect()}
+    assert got == {10: 0, 11: 1, 12: 1} and sorted(x[1] for x in rows())[-3:] == [("assign@2",)] * 3 and len(rows()) == 7
+
+
+# --- clashing names
+NAMES = "row d th q r a b w s m j x n first runs _d _kd _th _kt _k1 _k2 _n key key2 node comp fp line_runs letter held_out cell entry ids blob todo conv i h1 h2 part piece place range"
+
+
+def test_names_of_extra_columns_do_not_clash(spark):
+    para = " ".join(f"w{k}" for k in range(60))
+    texts = [f"head\n{para}\nend one", f"{para}\nown line", "secret=abcdefgh and more words", None, ""]
+    plain = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    from pyspark.sql import functions as F
+
+    wide = plain.select("*", *(F.lit(7).alias(c) for c in NAMES.split()))
+    items = spark.createDataFrame([(1, para, 5)], "item_id long, text string, term int")
+    turns = plain.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"), "text")
+    same = lambda f: sorted(map(str, f(wide).collect())) == sorted(map(str, f(plain).collect()))
+    for f in (line_dedup.report, simhash.group, language_id.identify, secret_scan.scan_all, token_files.round_trip, token_counts.histogram, lambda d: packing.pack(d).select("doc_id", "piece", "length", "ids_crc32"), lambda d: decontaminate.find(d, items)):
+        assert same(f)
+    for f in (line_dedup.clean, simhash.keep_one, language_id.accept, lambda d: decontaminate.clean(d, items)):
+        out = f(wide)
+        assert out.columns == wide.columns and sorted(map(str, out.select(plain.columns).collect())) == sorted(map(str, f(plain).collect())) and {r["runs"] for r in out.select("runs").collect()} <= {7}
+    assert sorted(map(str, chat.render(turns.select("*", *(F.lit(7).alias(c) for c in NAMES.split()))).collect())) == sorted(map(str, chat.render(turns).collect()))
+    vectors = spark.createDataFrame([(k, [float(k % 3), 1.0, 2.0]) for k in range(60)], "vec_id long, embedding array<double>")
+    assert sorted(map(str, neighbours.search_table(vectors.select("*", F.lit(7).alias("v"), F.lit(7).alias("cell"))).collect())) == sorted(map(str, neighbours.search_table(vectors).collect()))
+
+
+# --- the pipeline
+def test_pipeline_equals_sequential_stages(spark, real):
+    docs = [tuple(r) for r in real.select("doc_id", "text", "lang").collect()]
+    texts: dict = {}
+    for doc, text, lang in sorted(docs):
+        if lang is not None and text is not None and not brute.held_out(doc):
+            texts.setdefault(lang, []).append(text.encode())
+    # fewer documents than TRAIN_DOCS, so all of them are learned from; their order decides no count but those across their borders, which zeros fill
+    assert max(map(len, texts.values())) < language_id.TRAIN_DOCS and max(sum(map(len, x)) for x in texts.values()) < language_id.TRAIN_BYTES
+    plain = brute.Ppm(texts, language_id.ORDER, language_id.MIN_CONTEXT)
+    short = lambda t: len(t.encode()) < 3000  # noqa: E731 (the sequential version is slow: longer texts, which are plain prose, are taken as accepted)
+    kept = [(d, t) for d, t, _ in docs if t is not None and brute.has_letter(t) and (not short(t) or min(plain.bits(t.encode())) < 8 * len(t.encode()))]
+    gone = brute.line_runs(kept, line_dedup.MIN_WORDS, every=False)
+    kept = [(d, brute.without_lines(t, gone.get(d))) for d, t in kept]
+    kept = sorted((d, t) for d, t in kept if not gone.get(d) or t.strip())
+    comp, first = brute.components([brute.fingerprint(t) for _, t in kept]), {}
+    for (d, _), c in zip(kept, comp, strict=True):
+        first.setdefault(c, d)
+    kept = [(d, t) for (d, t), c in zip(kept, comp, strict=True) if first[c] == d]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = {d for d, _ in brute.contaminated(kept, items, decontaminate.split_item)}
+    kept = [(d, t) for d, t in kept if d not in bad]
+    want = brute.pieces(kept, tokens.vocab_path(), packing.CAPACITY, packing.END_ID)
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    assert len({r["sequence_id"] for r in got}) <= brute.first_fit([r["length"] for r in got], packing.CAPACITY)
+    bins: dict = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        assert [o for o, _ in sorted(b)] == np.concatenate([[0], np.cumsum([n for _, n in sorted(b)])[:-1]]).tolist() and sum(n for _, n in b) <= packing.CAPACITY
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Texts beyond the operators' blocks: their results are those of the plain versions."""
+    long = " ".join(f"w{k % 4099}" for k in range(700_000))
+    d = docs_of(spark, [long, "short text", long + " x"])
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 1000)
+    fps = {r["doc_id"]: r["fp"] % 2**64 for r in simhash.group(d).collect()}
+    w = long.split(" ")
+    from xxhash import xxh64_intdigest
+
+    h = np.array([xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(len(w) - 2)], np.uint64)
+    assert fps[1] == sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+    item = "Which river flows through the old city of stone? The answer is the slow green river named Aln."
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    both = docs_of(spark, [long + " " + item + " " + long, long])
+    assert [r["doc_id"] for r in decontaminate.find(both, items).collect()] == [1]
+    turns = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(2500)], "conv_id long, turn long, role string, text string")
+    parts = sorted((r["part"], r["text"].count("<|im_start|>")) for r in chat.render(turns).collect())
+    assert parts == [(0, 1024), (1, 1024), (2, 452)]
+    assert token_counts.histogram(d).count() >= 2 and pa.total_allocated_bytes() >= 0
