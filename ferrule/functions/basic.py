@@ -37,10 +37,8 @@ def common_divisor(values: list[int]) -> int:
 def process_map(kind: str, i: Column, j: Column, p: int) -> Column:
     """The process of block (i, j) among ``p``; square grids use the largest square that fits.
 
-    As in the reference, an unknown name means MODWRAP2D; the tree map, which isn't built, is refused.
+    FANOUT and FANIN are names of ROW2D and COL2D. The tree map needs the tree: see ``plans.mapping.tree_map``.
     """
-    if kind == "MODWRAP2DTREE":
-        raise NotImplementedError("process map MODWRAP2DTREE is not built")
     side = max(1, int(p**0.5))
     low, high = F.least(i, j), F.greatest(i, j)
     forms = {
@@ -53,7 +51,9 @@ def process_map(kind: str, i: Column, j: Column, p: int) -> Column:
         "MODWRAP2DNS": F.pmod(i, F.lit(side)) + side * F.pmod(F.floor(j / side), F.lit(side)),
     }
     kind = {"FANOUT": "ROW2D", "FANIN": "COL2D"}.get(kind, kind)
-    return forms.get(kind, forms["MODWRAP2D"])
+    if kind not in forms:
+        raise ValueError(f"unknown process map {kind}")
+    return forms[kind]
 
 
 def panel_flops(width, height):

@@ -1,136 +1,113 @@
-"""Multifrontal LL' and LDL' factorization, and the triangular sweeps, over groups of supernodes.
+"""LL' and LDL' factorization and triangular sweeps: whole subtrees in one task each, and what is above them by cells.
 
-``plan`` is one row a supernode: sid, fc, width, rows, parent, grp, step. Step 0 holds whole subtrees, one group each; every later step holds
-the supernodes whose children are done. A step is one grouped kernel: the group's matrix entries and the update matrices of its children come in,
-panels and update matrices for later groups go out, and the step is written to the shared folder before the next begins.
+``plan`` is one row a supernode (see ``ferrule.plans.solver``). Supernodes of step 0 belong to subtrees, a group each: one grouped kernel factors
+a group multifrontally and gives its panels and, cut along the cells above, what it subtracts there. All other supernodes are the top: ``cells`` factors it.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-PANEL = "grp long, step long, sid long, fc long, width long, rows array<long>, nzval array<double>, diag array<double>"
+from ferrule.operators import cells, dense
+from ferrule.operators.store import checkpointed
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to and read back from ``spark.checkpoint.dir``; in one JVM without that setting, a folder of this process."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _OWN.get("dir") or _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="ferrule-"))
-    path = f"{root.rstrip('/')}/factor-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cholesky_block(a: np.ndarray, fc: int) -> np.ndarray:
-    try:
-        return np.linalg.cholesky(a)
-    except np.linalg.LinAlgError:
-        low = next((k for k in range(1, len(a) + 1) if np.linalg.eigvalsh(a[:k, :k]).min() <= 0), len(a))
-        raise ValueError(f"not positive definite at column {fc + low - 1}") from None
-
-
-def ldl_block(a: np.ndarray, fc: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit lower triangle and diagonal; no pivoting."""
-    a, n = a.copy(), len(a)
-    for k in range(n):
-        if a[k, k] == 0 or not np.isfinite(a[k, k]):
-            raise ValueError(f"zero pivot at column {fc + k}")
-        a[k + 1 :, k] /= a[k, k]
-        a[k + 1 :, k + 1 :] -= np.outer(a[k + 1 :, k], a[k + 1 :, k]) * a[k, k]
-    return np.tril(a, -1) + np.eye(n), a.diagonal().copy()
+_OUT = "is_panel boolean, grp long, sid long, fc long, width long, rows array<long>, nzval array<double>, diag array<double>, bi long, bj long, r array<int>, s array<int>"
 
 
 def factor_front(front: np.ndarray, width: int, fc: int, ldl: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
     """Panel (rows x width), diagonal, and what remains for the ancestors."""
-    a11, a21 = front[:width, :width], front[width:, :width]
+    a11, a21, column = front[:width, :width], front[width:, :width], np.arange(fc, fc + width)
     a11 = np.tril(a11) + np.tril(a11, -1).T
     if ldl:
-        l11, d = ldl_block(a11, fc)
-        l21 = np.linalg.solve(l11, a21.T).T / d
+        l11, d = dense.ldl(a11, column)
+        l21 = dense.triangular_solve(l11, a21.T).T / d
         rest = front[width:, width:] - (l21 * d) @ l21.T
     else:
-        l11, d = cholesky_block(a11, fc), None
-        l21 = np.linalg.solve(l11, a21.T).T
+        l11, d = dense.cholesky(a11, column), None
+        l21 = dense.triangular_solve(l11, a21.T).T
         rest = front[width:, width:] - l21 @ l21.T
     return np.vstack([l11, l21]), d, rest
 
 
-def _factor_group(ldl: bool):
+def _factor_group(ldl: bool, size: int):
     def run(key, meta: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        """``meta``: plan rows; ``data``: entries and updates, each (sid, rows, cols or null, vals)."""
-        meta = meta.sort_values("sid")
-        fronts = {sid: [] for sid in meta["sid"]}
-        for sid, rows, cols, vals in zip(data["sid"], data["rows"], data["cols"], data["vals"], strict=True):
-            fronts[sid].append((rows, cols, np.asarray(vals)))
+        """``meta``: plan rows of a subtree; ``data``: its matrix entries (sid, i, j, v)."""
+        meta, data = meta.sort_values("sid"), data.sort_values("sid", kind="stable")
+        at = np.searchsorted(data["sid"].to_numpy(), meta["sid"].to_numpy(), side="left")
+        to = np.searchsorted(data["sid"].to_numpy(), meta["sid"].to_numpy(), side="right")
+        ei, ej, ev = (data[c].to_numpy() for c in "ijv")
+        below: dict[int, list] = {int(s): [] for s in meta["sid"]}
         out = []
-        for sid, fc, width, rows, parent, grp, step in meta[["sid", "fc", "width", "rows", "parent", "grp", "step"]].itertuples(index=False):
+        for (sid, fc, width, rows, parent, trows), a, b in zip(meta[["sid", "fc", "width", "rows", "parent", "trows"]].itertuples(index=False), at, to, strict=True):
             rows = np.asarray(rows, np.int64)
             front = np.zeros((len(rows), len(rows)))
-            for r, c, v in fronts.pop(sid):
-                if c is None:  # an update matrix, square
-                    at = np.searchsorted(rows, r)
-                    front[np.ix_(at, at)] += v.reshape(len(at), len(at))
-                else:
-                    np.add.at(front, (np.searchsorted(rows, r), np.searchsorted(rows, c)), v)
+            np.add.at(front, (np.searchsorted(rows, ei[a:b]), np.searchsorted(rows, ej[a:b])), ev[a:b])
+            for r, u in below.pop(int(sid)):
+                where = np.searchsorted(rows, r)
+                front[np.ix_(where, where)] += u
             panel, d, rest = factor_front(front, width, fc, ldl)
-            out.append((grp, step, sid, fc, width, rows, panel.ravel(), d, False))
-            if len(rows) > width:
-                up = int(parent)
-                if up in fronts:
-                    fronts[up].append((rows[width:], None, rest))
-                else:
-                    out.append((grp, step, up, fc, 0, rows[width:], rest.ravel(), None, True))
-        return pd.DataFrame(out, columns=["grp", "step", "sid", "fc", "width", "rows", "nzval", "diag", "is_update"])
+            out.append((True, key[0], sid, fc, width, rows, panel.ravel(), d, None, None, None, None))
+            if len(rows) == width:
+                continue
+            if int(parent) in below:
+                below[int(parent)].append((rows[width:], rest))
+                continue
+            t = np.asarray(trows, np.int64)
+            block, first = np.unique(t // size, return_index=True)
+            ends = np.append(first[1:], len(t))
+            for x, (bi, a1, b1) in enumerate(zip(block.tolist(), first, ends, strict=True)):
+                for bj, a2, b2 in zip(block[: x + 1].tolist(), first, ends):  # noqa: B905
+                    out.append((False, key[0], sid, fc, 0, None, rest[a1:b1, a2:b2].ravel(), None, bi, bj, (t[a1:b1] % size).astype(np.int32), (t[a2:b2] % size).astype(np.int32)))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _OUT.split(", ")])
 
     return run
 
 
-def factorize(coo: DataFrame, plan: DataFrame, ldl: bool = False) -> DataFrame:
-    """Panels of the permuted matrix ``coo``."""
-    owner = plan.select("sid", "grp", "step", F.explode(F.sequence("fc", F.col("fc") + F.col("width") - 1)).alias("j"))
-    entries = coo.join(owner, "j").groupBy("grp", "step", "sid").agg(F.collect_list(F.struct("i", "j", "v")).alias("x"))
-    entries = checkpointed(entries.select("grp", "step", "sid", F.col("x.i").alias("rows"), F.col("x.j").alias("cols"), F.col("x.v").alias("vals")))
-    steps = plan.agg(F.max("step")).first()[0] or 0
-    where = plan.select("sid", F.col("grp").alias("to_grp"), F.col("step").alias("to_step"))
-    panels, waiting = None, None
-    for step in range(steps + 1):
-        data = entries.where(F.col("step") == step).drop("step")
-        if waiting is not None:
-            data = data.unionByName(waiting.where(F.col("step") == step).drop("step"))
-        meta = plan.where(F.col("step") == step)
-        done = meta.groupBy("grp").cogroup(data.groupBy("grp")).applyInPandas(_factor_group(ldl), PANEL + ", is_update boolean")
-        done = checkpointed(done)
-        own = done.where(~F.col("is_update")).drop("is_update")
-        panels = own if panels is None else panels.unionByName(own)
-        sent = done.where("is_update").select("sid", "rows", F.lit(None).cast("array<long>").alias("cols"), F.col("nzval").alias("vals")).join(where, "sid")
-        sent = sent.select(F.col("to_grp").alias("grp"), F.col("to_step").alias("step"), "sid", "rows", "cols", "vals")
-        waiting = sent if waiting is None else waiting.unionByName(sent)
-    return panels
-
-
-def to_coo(panels: DataFrame) -> DataFrame:
+@dataclass
+class Factor:
+    """``panels`` of the subtrees, ``top`` of what is above (None if nothing is)."""
+
+    panels: DataFrame
+    top: cells.Top | None
+    plan: DataFrame
+
+
+def factorize(coo: DataFrame, plan: DataFrame, ldl: bool = False, size: int = cells.SIZE) -> Factor:
+    """The factor of the permuted matrix ``coo``."""
+    low = plan.where("step = 0")
+    owner = low.select("sid", "grp", F.explode(F.sequence("fc", F.col("fc") + F.col("width") - 1)).alias("j"))
+    data = coo.join(owner, "j").select("grp", "sid", "i", "j", "v")
+    meta = low.select("grp", "sid", "fc", "width", "rows", "parent", "trows")
+    done = checkpointed(meta.groupBy("grp").cogroup(data.groupBy("grp")).applyInPandas(_factor_group(ldl, size), _OUT))
+    panels = done.where("is_panel").select("grp", "sid", "fc", "width", "rows", "nzval", "diag")
+    return Factor(panels, cells.factorize(coo, plan, done.where("not is_panel").select("bi", "bj", "grp", "r", "s", F.col("nzval").alias("v")), ldl, size), plan)
+
+
+def to_coo(f: Factor) -> DataFrame:
     """L as entries, its unit diagonal included for LDL'."""
-    p = panels.select("fc", "width", "rows", F.posexplode("nzval").alias("at", "v"))
+    p = f.panels.select("fc", "width", "rows", F.posexplode("nzval").alias("at", "v"))
     r, c = F.floor(F.col("at") / F.col("width")).cast("int"), (F.col("at") % F.col("width"))
-    return p.select(F.element_at("rows", r + 1).alias("i"), (F.col("fc") + c).alias("j"), "v").where("i >= j")
+    low = p.select(F.element_at("rows", r + 1).alias("i"), (F.col("fc") + c).alias("j"), "v").where("i >= j")
+    return low if f.top is None else low.unionByName(f.top.to_coo())
 
 
-def diagonal(panels: DataFrame) -> DataFrame:
+def diagonal(f: Factor) -> DataFrame:
     """Diagonal of D, or of L."""
-    d = panels.where("diag is not null").select("fc", F.posexplode("diag").alias("at", "v")).select((F.col("fc") + F.col("at")).alias("j"), "v")
-    own = to_coo(panels.where("diag is null")).where("i = j").select("j", "v")
-    return d.unionByName(own)
+    d = f.panels.where("diag is not null").select("fc", F.posexplode("diag").alias("at", "v")).select((F.col("fc") + F.col("at")).alias("j"), "v")
+    own = to_coo(Factor(f.panels.where("diag is null"), None, f.plan)).where("i = j").select("j", "v")
+    both = d.unionByName(own)
+    return both if f.top is None else both.unionByName(f.top.diagonal())
+
+
+def block_dump(f: Factor) -> DataFrame:
+    """Each block of the factor with its place and size: what there is to look at without the entries."""
+    low = f.panels.select(F.lit("panel").alias("kind"), F.col("fc").alias("first_row"), F.col("fc").alias("first_col"), F.size("rows").cast("long").alias("n_rows"), F.col("width").alias("n_cols"), F.aggregate("nzval", F.lit(0.0), lambda s, x: s + x * x).alias("square"))
+    return low if f.top is None else low.unionByName(f.top.dump())
 
 
 _SWEPT = "i long, k int, v double, is_final boolean"
@@ -139,9 +116,7 @@ _SWEPT = "i long, k int, v double, is_final boolean"
 def _matrix(x: pd.DataFrame, rows: np.ndarray, nrhs: int) -> np.ndarray:
     out = np.zeros((len(rows), nrhs))
     if len(x):
-        at = np.searchsorted(rows, x["i"].to_numpy())
-        ok = (at < len(rows)) & (rows[np.minimum(at, len(rows) - 1)] == x["i"].to_numpy())
-        np.add.at(out, (at[ok], x["k"].to_numpy()[ok]), x["v"].to_numpy()[ok])
+        np.add.at(out, (np.searchsorted(rows, x["i"].to_numpy()), x["k"].to_numpy()), x["v"].to_numpy())
     return out
 
 
@@ -156,43 +131,37 @@ def _sweep_group(nrhs: int, forward: bool):
         for n in np.argsort(panels["sid"].to_numpy())[:: 1 if forward else -1].tolist():
             w = int(panels["width"].iloc[n])
             l = np.asarray(panels["nzval"].iloc[n]).reshape(-1, w)
+            d = panels["diag"].iloc[n]
             at = np.searchsorted(every, rows[n])
             own[at[:w]] = True
             if forward:
-                y[at[:w]] = np.linalg.solve(l[:w], y[at[:w]])
-                y[at[w:]] -= l[w:] @ y[at[:w]]
+                y[at[:w]] = z = dense.triangular_solve(l[:w], y[at[:w]])
+                y[at[w:]] -= l[w:] @ z
             else:
-                y[at[:w]] = np.linalg.solve(l[:w].T, y[at[:w]] - l[w:].T @ y[at[w:]])
+                z = y[at[:w]] if d is None else y[at[:w]] / np.asarray(d)[:, None]
+                y[at[:w]] = dense.triangular_solve(l[:w], z - l[w:].T @ y[at[w:]], True)
         keep = np.ones(len(every), bool) if forward else own
         return pd.DataFrame({"i": np.repeat(every[keep], nrhs), "k": np.tile(np.arange(nrhs, dtype=np.int32), int(keep.sum())), "v": y[keep].ravel(), "is_final": np.repeat(own[keep], nrhs)})
 
     return run
 
 
-def solve(panels: DataFrame, plan: DataFrame, b: DataFrame, nrhs: int) -> DataFrame:
-    """x of L L' x = b or L D L' x = b, for b(i, k, v) in the factor's order."""
-    column = plan.select("grp", "step", F.explode(F.sequence("fc", F.col("fc") + F.col("width") - 1)).alias("i"))
-    steps = plan.agg(F.max("step")).first()[0] or 0
-    add = lambda df: df.groupBy("i", "k").agg(F.sum("v").alias("v"))
-    pending, y = b.select("i", F.col("k").cast("int").alias("k"), F.col("v").cast("double").alias("v")), None
-    for step in range(steps + 1):
-        own = panels.where(F.col("step") == step)
-        x = add(pending).join(column.where(F.col("step") == step).select("grp", "i"), "i")
-        done = checkpointed(own.groupBy("grp").cogroup(x.groupBy("grp")).applyInPandas(_sweep_group(nrhs, True), _SWEPT))
-        final = done.where("is_final").drop("is_final")
-        y = final if y is None else y.unionByName(final)
-        pending = pending.unionByName(done.where(~F.col("is_final")).drop("is_final"))
-    d = panels.where("diag is not null").select("fc", F.posexplode("diag").alias("at", "d")).select((F.col("fc") + F.col("at")).alias("i"), "d")
-    y = checkpointed(y.join(d, "i", "left").select("i", "k", (F.col("v") / F.coalesce("d", F.lit(1.0))).alias("v")))
-    x = None
-    for step in range(steps, -1, -1):
-        own = panels.where(F.col("step") == step)
-        mine = y.join(column.where(F.col("step") == step).select("grp", "i"), "i")
-        if x is not None:
-            need = own.select("grp", "fc", "width", F.explode("rows").alias("i")).where("i >= fc + width").select("grp", "i").distinct()
-            inside = need.join(column.where(F.col("step") == step).select("grp", "i"), ["grp", "i"], "left_anti")
-            mine = mine.unionByName(inside.join(x, "i").select("i", "k", "v", "grp"))
-        done = own.groupBy("grp").cogroup(mine.groupBy("grp")).applyInPandas(_sweep_group(nrhs, False), _SWEPT)
-        final = checkpointed(done.where("is_final").drop("is_final"))
-        x = final if x is None else x.unionByName(final)
-    return x
+def solve(f: Factor, b: DataFrame, nrhs: int) -> DataFrame:
+    """x(i, k, v) of L L' x = b or L D L' x = b, for b(i, k, v) in the factor's order."""
+    low = f.plan.where("step = 0")
+    column = low.select("grp", F.explode(F.sequence("fc", F.col("fc") + F.col("width") - 1)).alias("i"))
+    b = b.select("i", F.col("k").cast("int").alias("k"), F.col("v").cast("double").alias("v"))
+    done = checkpointed(f.panels.groupBy("grp").cogroup(b.join(column, "i").groupBy("grp")).applyInPandas(_sweep_group(nrhs, True), _SWEPT))
+    y = done.where("is_final").select("i", "k", "v")
+    top = None
+    if f.top is not None:
+        sent = done.where("not is_final").select("i", "k", "v")
+        top = f.top.solve(b.unionByName(sent), nrhs)
+    mine = y.join(column, "i").select("grp", "i", "k", "v")
+    if top is not None:
+        # rows that a subtree has above it: those of its roots
+        need = low.where("trows is not null").select("grp", "fc", "width", F.explode("rows").alias("i")).where("i >= fc + width").select("grp", "i").distinct()
+        mine = mine.unionByName(need.join(top, "i").select("grp", "i", "k", "v"))
+    x = f.panels.groupBy("grp").cogroup(mine.groupBy("grp")).applyInPandas(_sweep_group(nrhs, False), _SWEPT)
+    x = checkpointed(x.where("is_final").drop("is_final"))
+    return x if top is None else x.unionByName(top)

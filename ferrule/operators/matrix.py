@@ -38,19 +38,31 @@ def axpy(a: float, x: DataFrame, y: DataFrame) -> DataFrame:
     return both.groupBy("i", "k").agg(F.sum("v").alias("v"))
 
 
-def norm(x: DataFrame) -> float:
-    return float(x.agg(F.sqrt(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)))).first()[0])
+def norm(x: DataFrame) -> DataFrame:
+    """One row (norm)."""
+    return x.agg(F.sqrt(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).alias("norm"))
 
 
-def frobenius(coo: DataFrame) -> float:
+def frobenius(coo: DataFrame) -> DataFrame:
+    """One row (norm) of the whole matrix."""
     twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
-    return float(coo.agg(F.sqrt(F.coalesce(F.sum(twice * F.col("v") * F.col("v")), F.lit(0.0)))).first()[0])
+    return coo.agg(F.sqrt(F.coalesce(F.sum(twice * F.col("v") * F.col("v")), F.lit(0.0))).alias("norm"))
 
 
-def residual(coo: DataFrame, x: DataFrame, b: DataFrame) -> float:
-    """||A x - b|| / ||b||."""
-    size = norm(b)
-    return norm(axpy(-1.0, b, multiply(coo, x))) / (size or 1.0)
+def residual(coo: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (residual): ||A x - b|| / ||b||, or ||A x|| if b is zero; one aggregation over both sides' sums."""
+    both = multiply(coo, x).select("i", "k", "v", F.lit(0.0).alias("b")).unionByName(b.select("i", "k", F.lit(0.0).alias("v"), F.col("v").alias("b")))
+    each = both.groupBy("i", "k").agg(F.sum("v").alias("v"), F.sum("b").alias("b"))
+    off, size = F.sum((F.col("v") - F.col("b")) * (F.col("v") - F.col("b"))), F.sum(F.col("b") * F.col("b"))
+    return each.agg(F.coalesce(F.sqrt(off) / F.when(size > 0, F.sqrt(size)).otherwise(1.0), F.lit(0.0)).alias("residual"))
+
+
+def is_permuted(coo: DataFrame, perm: DataFrame, permuted: DataFrame) -> DataFrame:
+    """One row (is_permuted): whether ``permuted`` has the entries of ``coo`` as ``perm`` places them."""
+    rest = [c for c in ("i", "j", "v") if c in coo.columns]
+    sign = lambda df, s: df.select(*rest, F.lit(s).alias("_s"))
+    left = sign(permute(coo, perm), 1).unionByName(sign(permuted, -1)).groupBy(*rest).agg(F.sum("_s").alias("_s"))
+    return left.agg((F.coalesce(F.sum(F.abs("_s")), F.lit(0)) == 0).alias("is_permuted"))
 
 
 def degree(coo: DataFrame) -> DataFrame:
@@ -99,7 +111,7 @@ def copy_pattern(coo: DataFrame, value: float = 0.0) -> DataFrame:
 
 
 def validate(coo: DataFrame, n: int) -> None:
-    """Raises for entries out of range or above the diagonal, repeated entries, and values that aren't finite."""
+    """Raises for entries out of range or above the diagonal, repeated entries, and values that aren't finite; so for a matrix of both triangles too."""
     bad = coo.agg(
         F.count_if((F.col("i") < F.col("j")) | (F.col("j") < 0) | (F.col("i") >= n)).alias("outside"),
         F.count_if(F.col("v").isNull() | F.isnan("v") | (F.abs("v") == float("inf"))).alias("not finite"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ferrule.functions.scan import prefix_sum
 from ferrule.operators import ordering
 
 
@@ -128,9 +129,14 @@ def structures(n: int, i: np.ndarray, j: np.ndarray, xsuper: np.ndarray, sparent
     return out
 
 
+REFINEMENTS = ("SET", "TSPB")
+
+
 def refine(xsuper: np.ndarray, rows: list[np.ndarray], method: str = "SET") -> np.ndarray:
     """order[new] = old inside supernodes, so that columns that the same descendants hold stand together: by partition
     refinement (SET), or by nearest insertion on the Hamming distance of those sets (TSPB)."""
+    if method not in REFINEMENTS:
+        raise ValueError(f"unknown refinement {method}")
     n = int(xsuper[-1])
     holders: list[set[int]] = [set() for _ in range(n)]
     for s, r in enumerate(rows):
@@ -139,7 +145,7 @@ def refine(xsuper: np.ndarray, rows: list[np.ndarray], method: str = "SET") -> n
     order = np.arange(n)
     for a, b in zip(xsuper[:-1].tolist(), xsuper[1:].tolist(), strict=True):
         cols = list(range(a, b))
-        if method.startswith("TSPB"):
+        if method == "TSPB":
             tour: list[int] = cols[:1]
             for c in cols[1:]:
                 cost = lambda k: (len(holders[tour[k - 1]] ^ holders[c]) if k else 0) + (len(holders[c] ^ holders[tour[k]]) if k < len(tour) else 0) - (len(holders[tour[k - 1]] ^ holders[tour[k]]) if 0 < k < len(tour) else 0)  # noqa: E731, B023
@@ -198,17 +204,18 @@ def columns(coo: DataFrame, n: int, perm: DataFrame | None = None) -> DataFrame:
 
 
 def fundamental(columns: DataFrame, max_size: int = 0) -> DataFrame:
-    """sid, fc, lc, width of the fundamental supernodes of ``columns``, by windows."""
-    order = W.orderBy("j")
-    same = (F.lag("parent").over(order) == F.col("j")) & (F.lag("cc").over(order) == F.col("cc") + 1)
-    run = columns.withColumn("_run", F.sum(F.when(same, 0).otherwise(1)).over(order))
+    """sid, fc, lc, width of the fundamental supernodes of ``columns``: a column joins the one before it by a join, and runs are numbered in two levels."""
+    before = columns.select((F.col("j") + 1).alias("j"), F.col("parent").alias("_p"), F.col("cc").alias("_c"))
+    same = (F.col("_p") == F.col("j")) & (F.col("_c") == F.col("cc") + 1)
+    flagged = columns.select("j", "cc").join(before, "j", "left").select("j", F.when(same, 0).otherwise(1).alias("_new"))
+    run = prefix_sum(flagged, "j", "_new", "_before").withColumn("_run", F.col("_before") + F.col("_new"))
     if max_size:
-        place = F.row_number().over(W.partitionBy("_run").orderBy("j")) - 1
-        run = run.withColumn("_part", F.floor(place / max_size))
+        first = run.groupBy("_run").agg(F.min("j").alias("_first"))
+        run = run.join(first, "_run").withColumn("_part", F.floor((F.col("j") - F.col("_first")) / max_size))
     else:
         run = run.withColumn("_part", F.lit(0))
     own = run.groupBy("_run", "_part").agg(F.min("j").alias("fc"), F.max("j").alias("lc"), F.count(F.lit(1)).alias("width"))
-    return own.withColumn("sid", F.row_number().over(W.orderBy("fc")).cast("long") - 1).select("sid", "fc", "lc", "width")
+    return prefix_sum(own.withColumn("_one", F.lit(1)), "fc", "_one", "sid").select(F.col("sid").cast("long").alias("sid"), "fc", "lc", "width")
 
 
 def statistics(columns: DataFrame) -> DataFrame:
@@ -225,11 +232,25 @@ def blocks(lstruct: DataFrame, snode: DataFrame) -> DataFrame:
     return run.groupBy("sid", "tgt", "_g").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n_rows")).drop("_g")
 
 
-def block_statistics(blocks: DataFrame) -> DataFrame:
-    return blocks.agg(F.countDistinct("sid").alias("supernodes"), F.count(F.lit(1)).alias("blocks"), F.countDistinct("sid", "tgt").alias("cells"), F.avg("n_rows").alias("mean_rows"))
+def block_statistics(blocks: DataFrame, snode: DataFrame) -> DataFrame:
+    """One row: how many cells (supernode, target) and blocks (maximal runs of rows in a cell) there are, and their mean sizes."""
+    sized = blocks.join(snode.select("sid", "width"), "sid")
+    wide = snode.agg(F.count(F.lit(1)).alias("supernodes"), F.sum("width").alias("columns"))
+    own = sized.agg(F.count(F.lit(1)).alias("blocks"), F.countDistinct("sid", "tgt").alias("cells"), F.sum("n_rows").alias("_rows"), F.sum(F.col("n_rows") * F.col("width")).alias("_nnz"))
+    return own.crossJoin(wide).select(  # a row each
+        "supernodes", "cells", "blocks", (F.col("blocks") / F.col("supernodes")).alias("blocks_per_supernode"), (F.col("blocks") / F.col("columns")).alias("blocks_per_column"),
+        (F.col("_rows") / F.col("cells")).alias("rows_per_cell"), (F.col("_nnz") / F.col("blocks")).alias("entries_per_block"),
+    )
+
+
+def update_counts(blocks: DataFrame, snode: DataFrame) -> DataFrame:
+    """For each supernode that is updated: by how many others, in how many blocks, the most rows that one brings, and the widest and tallest of them."""
+    per = blocks.where("sid <> tgt").groupBy("sid", "tgt").agg(F.sum("n_rows").alias("rows"), F.count(F.lit(1)).alias("n"))
+    return per.join(snode.select("sid", "width", "height"), "sid").groupBy("tgt").agg(F.count(F.lit(1)).alias("updates"), F.sum("n").alias("blocks"), F.max("rows").alias("max_rows"), F.max("width").alias("max_width"), F.max("height").cast("long").alias("max_height"))
 
 
-def update_counts(blocks: DataFrame) -> DataFrame:
-    """For each supernode: supernodes that update it, and the most rows that one brings."""
-    per = blocks.where("sid <> tgt").groupBy("sid", "tgt").agg(F.sum("n_rows").alias("rows"))
-    return per.groupBy("tgt").agg(F.count(F.lit(1)).alias("updates"), F.max("rows").alias("max_rows"))
+def aggregate_counts(blocks: DataFrame, owner: DataFrame) -> DataFrame:
+    """For each supernode with updates from elsewhere: aggregates it gets if every process adds up its own updates first, and single updates if none does.
+    ``owner``: sid, process."""
+    pair = blocks.where("sid <> tgt").select("sid", "tgt").distinct().join(owner.select("sid", F.col("process").alias("_from")), "sid").join(owner.select(F.col("sid").alias("tgt"), F.col("process").alias("_to")), "tgt")
+    return pair.groupBy("tgt").agg(F.count_if(F.col("_from") != F.col("_to")).alias("updates"), F.countDistinct(F.when(F.col("_from") != F.col("_to"), F.col("_from"))).alias("aggregates"))

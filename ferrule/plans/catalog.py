@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.functions.basic import panel_flops, process_map
-from ferrule.operators import matrix, ordering, symbolic
+from ferrule.operators import factor, matrix, ordering, symbolic
+from ferrule.operators.store import shared_path
 from ferrule.plans.solver import Options, SymMatrix
-from ferrule.sources.fixtures import GRID_SQL, dirichlet_grid, exact_solution, order_stars, part_grid
+from ferrule.sources import readers
+from ferrule.sources.fixtures import GRID_SQL, central_stars, dirichlet_grid, exact_solution, order_stars, part_grid, part_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,7 +88,7 @@ def spmm(spark, d):
 
 @query(_grid("SELECT round(sqrt(sum(v * v)), 6) + 0.0 AS norm FROM sym"))
 def frobenius_norm(spark, d):
-    return spark.createDataFrame([(round(matrix.frobenius(part_grid(spark, d)[0]), 6),)], "norm double")
+    return matrix.frobenius(part_grid(spark, d)[0]).select(_R("norm").alias("norm"))
 
 
 @query(_grid(", b AS (SELECT sym.i, sum(v * (1 - 2 * (sym.j % 2))) AS v FROM sym GROUP BY sym.i), y AS (SELECT sym.i, sum(v * (0.5::DOUBLE - sym.j % 2)) AS v FROM sym GROUP BY sym.i) SELECT round(sqrt(sum((y.v - b.v) * (y.v - b.v))) / sqrt(sum(b.v * b.v)), 6) + 0.0 AS residual FROM y JOIN b USING (i)"))
@@ -95,13 +97,13 @@ def residual_of_half(spark, d):
     x = exact_solution(spark, n, 1)
     b = matrix.multiply(coo, x)
     half = x.withColumn("v", F.col("v") / 2)
-    return spark.createDataFrame([(round(matrix.residual(coo, half, b), 6),)], "residual double")
+    return matrix.residual(coo, half, b).select(_R("residual").alias("residual"))
 
 
 def _solve(method: str, fact: str, nrhs: int = 1, **more):
     def run(spark: SparkSession, d: str) -> DataFrame:
         coo, n = part_grid(spark, d)
-        coo = coo.repartition(8, "j")
+        coo = coo.repartition("j")
         x = SymMatrix(coo, n, Options(ordering=method, fact=fact, **more)).solve(matrix.multiply(coo, exact_solution(spark, n, nrhs)), nrhs)
         return x.select("i", F.col("k").cast("int").alias("k"), _R("v").alias("v"))
 
@@ -134,17 +136,28 @@ def solve_prices(spark, d):
     return matrix.multiply(coo, x).select("i", (F.round("v", 4) + F.lit(0.0)).alias("v"))
 
 
-@query(_grid("SELECT i, j, round(v, 6) + 0.0 AS v FROM coo"))
-def factor_reconstruction(spark, d):
-    """L L' on the matrix's own pattern, back in its own numbering."""
-    coo, n = part_grid(spark, d)
-    a = SymMatrix(coo, n).factorize()
-    l = a.factor_coo()
-    pattern = matrix.permute(coo.select("i", "j"), a.perm)
-    own = l.select(F.col("i").alias("i"), F.col("j").alias("c"), F.col("v").alias("x"))
-    other = l.select(F.col("i").alias("j"), F.col("j").alias("c"), F.col("v").alias("y"))
-    product = pattern.join(own, "i").join(other, ["j", "c"]).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    return matrix.permute(product, ordering.inverse(a.perm)).select("i", "j", _R("v").alias("v"))
+def _reconstruction(**options):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """L L' or L D L' on the matrix's own pattern, back in its own numbering."""
+        coo, n = part_grid(spark, d)
+        a = SymMatrix(coo, n, Options(**options)).factorize()
+        l = a.factor_coo()
+        pattern = matrix.permute(coo.select("i", "j"), a.perm)
+        own = l.select(F.col("i").alias("i"), F.col("j").alias("c"), F.col("v").alias("x"))
+        other = l.select(F.col("i").alias("j"), F.col("j").alias("c"), F.col("v").alias("y"))
+        if a.options.fact == "LDL":
+            other = other.join(factor.diagonal(a.factor).select(F.col("j").alias("c"), F.col("v").alias("d")), "c").select("j", "c", (F.col("y") * F.col("d")).alias("y"))
+        product = pattern.join(own, "i").join(other, ["j", "c"]).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+        return matrix.permute(product, ordering.inverse(a.perm)).select("i", "j", _R("v").alias("v"))
+
+    return run
+
+
+_COO = _grid("SELECT i, j, round(v, 6) + 0.0 AS v FROM coo")
+query(_COO, "factor_reconstruction")(_reconstruction())
+query(_COO, "factor_reconstruction_ldl")(_reconstruction(fact="LDL"))
+query(_COO, "factor_reconstruction_cells")(_reconstruction(ordering="ND", limit=20_000.0, cell=32))
+query(_COO, "factor_reconstruction_ldl_cells")(_reconstruction(ordering="ND", fact="LDL", limit=20_000.0, cell=48))
 
 
 _FILL = """, r(s, x) AS (SELECT j, i FROM sym WHERE i <> j UNION SELECT r.s, sym.i FROM r JOIN sym ON sym.j = r.x WHERE r.x < r.s AND sym.i <> sym.j),
@@ -182,13 +195,12 @@ def inertia(spark, d):
     return out
 
 
-@query("SELECT count(*)::BIGINT AS solved, 0::BIGINT AS wrong FROM (SELECT unnest(range((SELECT max(o_orderkey) - min(o_orderkey) + 1 + max(o_custkey) + 1 FROM orders))))")
+@query("SELECT i, CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS v FROM (SELECT unnest(range((SELECT max(o_orderkey) - min(o_orderkey) + 1 + max(o_custkey) + 1 FROM orders))) AS i)")
 def solve_stars(spark, d):
     coo, n = order_stars(spark, d)
-    coo = coo.repartition(8, "j")
+    coo = coo.repartition("j")
     x = SymMatrix(coo, n, Options(ordering="NATURAL")).solve(matrix.multiply(coo, exact_solution(spark, n, 1)), 1)
-    want = F.when(F.col("i") % 2 == 0, 1.0).otherwise(-1.0)
-    return x.agg(F.count(F.lit(1)).alias("solved"), F.count_if(F.abs(F.col("v") - want) > 1e-6).alias("wrong"))
+    return x.select("i", _R("v").alias("v"))
 
 
 @query(_grid("SELECT k AS old, k AS new FROM p"))
@@ -198,11 +210,116 @@ def compose_with_inverse(spark, d):
     return ordering.compose(perm, ordering.inverse(perm))
 
 
+def _less_fill(method: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Whether the ordering is one of all nodes, and its factor smaller than that of the natural one, whose size is given."""
+        coo, n = part_grid(spark, d)
+        perm = factor.checkpointed(ordering.order(coo, n, method))
+        natural = symbolic.statistics(symbolic.columns(coo, n)).select(F.col("nnz").alias("nnz_natural"))
+        own = symbolic.statistics(symbolic.columns(coo, n, perm)).select("nnz")
+        whole = perm.agg(F.countDistinct("old").alias("olds"), F.countDistinct("new").alias("news"), F.max("new").alias("high"))
+        return whole.crossJoin(natural).crossJoin(own).select("olds", "news", "high", "nnz_natural", (F.col("nnz") < F.col("nnz_natural")).alias("is_less"))  # a row each
+
+    return run
+
+
+_TEST_FILL = "SELECT count(*)::BIGINT AS olds, count(*)::BIGINT AS news, (count(*) - 1)::BIGINT AS high, sum(cc)::BIGINT AS nnz_natural, true AS is_less FROM c"
+for _m in ("MMD", "AMD", "ND", "NDGRID"):
+    query(_grid(_FILL + _TEST_FILL), f"order_{_m.lower()}")(_less_fill(_m))
 for _m in ("MMD", "AMD", "RCM", "ND", "NDGRID", "NDBOX"):
-    query("SELECT p_partkey AS new FROM part", f"order_{_m.lower()}")(lambda spark, d, m=_m: ordering.order(*part_grid(spark, d), m).select("new", "old").groupBy("old").agg(F.min("new").alias("new")).select("new"))
-    # the ordering itself; SQL can't express it, and that of order_* only holds its range
+    # the ordering itself, which SQL can't express
     query(None, f"perm_{_m.lower()}")(lambda spark, d, m=_m: ordering.order(*part_grid(spark, d), m).select("old", "new"))
 
+
+def _star_fill(method: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Entries of the factor of a forest whose centres are numbered first: orderings by degree leave no fill."""
+        coo, n = central_stars(spark, d)
+        return symbolic.statistics(symbolic.columns(coo, n, ordering.order(coo, n, method))).select("nnz")
+
+    return run
+
+
+for _m in ("MMD", "AMD"):
+    query("SELECT (count(*) + (SELECT max(o_orderkey) - min(o_orderkey) + 1 + max(o_custkey) + 1 FROM orders))::BIGINT AS nnz FROM orders", f"fill_of_stars_{_m.lower()}")(_star_fill(_m))
+
+
+@query("SELECT 1::BIGINT AS bandwidth, (2 * count(*) - 1)::BIGINT AS entries FROM part")
+def order_rcm(spark, d):
+    """The bandwidth that the ordering leaves of a path through scattered nodes: one."""
+    coo, n = part_path(spark, d)
+    found = matrix.permute(coo, ordering.order(coo, n, "RCM"))
+    return found.agg(F.max(F.col("i") - F.col("j")).alias("bandwidth"), F.count(F.lit(1)).alias("entries"))
+
+
+def _moved(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
+    ids = spark.range(n).withColumnRenamed("id", "old")
+    return ids.select("old", (n - 1 - F.col("old")).alias("new")), ids.select("old", ((F.col("old") + 7) % n).alias("new"))
+
+
+@query(_grid("SELECT k AS old, (n - 1 - k + 7) % n AS new FROM p"))
+def compose_orders(spark, d):
+    return ordering.compose(*_moved(spark, part_grid(spark, d)[1]))
+
+
+@query(_grid("SELECT n - 1 - k AS old, (k + 7) % n AS new FROM p"))
+def relative_order(spark, d):
+    return ordering.relative(*_moved(spark, part_grid(spark, d)[1]))
+
+
+@query(_grid("SELECT k AS old, (k + 7) % n AS new FROM p"))
+def user_order(spark, d):
+    """A caller's numbering from 1, checked and moved to 0."""
+    n = part_grid(spark, d)[1]
+    one = _moved(spark, n)[1].select((F.col("old") + 1).alias("old"), (F.col("new") + 1).alias("new"))
+    return ordering.user(one, n)
+
+
+@query("SELECT true AS is_permuted, false AS other")
+def is_permuted(spark, d):
+    coo, n = part_grid(spark, d)
+    one, other = _moved(spark, n)
+    there = matrix.permute(coo, one)
+    return matrix.is_permuted(coo, one, there).crossJoin(matrix.is_permuted(coo, other, there).select(F.col("is_permuted").alias("other")))  # a row each
+
+
+@query(_grid("SELECT i, j, CASE WHEN i = j THEN 0.0::DOUBLE ELSE round(v, 6) + 0.0 END AS v FROM coo"))
+def with_diagonal(spark, d):
+    coo, n = part_grid(spark, d)
+    return matrix.with_diagonal(matrix.without_diagonal(coo), n).select("i", "j", _R("v").alias("v"))
+
+
+def _file(fmt: str, write, name: str = ""):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Written to the shared folder in this format, and read back."""
+        coo, n = part_grid(spark, d)
+        path = shared_path(spark, fmt.lower())
+        write(coo, n, path)
+        got, size = readers.read_matrix(spark, path + name, fmt)
+        if size != n:
+            raise ValueError(f"{size} columns of {n}")
+        return got.select("i", "j", _R("v").alias("v"))
+
+    return run
+
+
+query(_COO, "file_harwell_boeing")(_file("HB", readers.write_harwell_boeing))
+query(_COO, "file_rutherford_boeing")(_file("RB", lambda coo, n, path: readers.write_harwell_boeing(coo, n, path, "rb")))
+query(_COO, "file_binary_csc")(_file("CSC", readers.write_binary_csc, "/matrix.csc"))
+query(_COO, "file_text")(_file("matrix", readers.write_text))
+query(_COO, "file_matrix_market")(_file("mm", readers.write_matrix_market))
+query(_COO, "file_parquet")(_file("parquet", lambda coo, n, path: coo.write.parquet(path)))
+
+
+@query(_COO)
+def file_matlab(spark, d):
+    path = shared_path(spark, "matlab")
+    readers.matlab_text(part_grid(spark, d)[0]).write.text(path)
+    x = F.split("value", " ")
+    back = spark.read.text(path).select(x[0].cast("long").alias("i"), x[1].cast("long").alias("j"), x[2].cast("double").alias("v"))
+    return matrix.set_base(back, -1).select("i", "j", _R("v").alias("v"))
+
+
 _MAPS = {"ROW2D": "i % 16", "COL2D": "j % 16", "ANTIDIAG2D": "(i + j) % 16", "WRAP2D": "i % 4 + 4 * (j % 4)", "WRAP2DFORCED": "CASE WHEN i = j THEN j % 16 ELSE i % 4 + 4 * (j % 4) END", "MODWRAP2D": "least(i, j) % 4 + 4 * (CAST(floor(greatest(i, j) / 4) AS BIGINT) % 4)", "MODWRAP2DNS": "i % 4 + 4 * (CAST(floor(j / 4) AS BIGINT) % 4)"}
 for _k, _s in _MAPS.items():
     query(_grid(f"SELECT ({_s})::BIGINT AS process, count(*)::BIGINT AS blocks FROM coo GROUP BY 1"), f"map_{_k.lower()}")(
@@ -210,26 +327,46 @@ for _k, _s in _MAPS.items():
     )
 
 
-@query()
-def supernode_plan(spark, d):
-    """Relaxed supernodes with their groups, steps and costs."""
+_SNODE = _FILL + """, t AS (SELECT *, CASE WHEN lag(parent) OVER (ORDER BY j) = j AND lag(cc) OVER (ORDER BY j) = cc + 1 THEN 0 ELSE 1 END AS first FROM c),
+u AS (SELECT *, sum(first) OVER (ORDER BY j) AS g FROM t),
+s AS (SELECT row_number() OVER (ORDER BY min(j)) - 1 AS sid, min(j) AS fc, max(j) AS lc, count(*) AS width FROM u GROUP BY g),
+h AS (SELECT s.sid, f.i AS x FROM s JOIN f ON f.j = s.fc UNION ALL SELECT sid, fc FROM s),
+o AS (SELECT h.sid, w.sid AS tgt, h.x, h.x - row_number() OVER (PARTITION BY h.sid, w.sid ORDER BY h.x) AS g FROM h JOIN s w ON h.x BETWEEN w.fc AND w.lc),
+b AS (SELECT sid, tgt, count(*) AS n_rows FROM o GROUP BY sid, tgt, g),
+e AS (SELECT s.sid, any_value(s.width) AS width, count(*) AS height, min(w.sid) FILTER (WHERE h.x > s.lc) AS parent FROM s JOIN h ON h.sid = s.sid JOIN s w ON h.x BETWEEN w.fc AND w.lc GROUP BY s.sid)
+"""
+
+
+def _fundamental(spark: SparkSession, d: str) -> SymMatrix:
+    """The grid in its own order, with supernodes as they are: neither cut nor relaxed."""
     coo, n = part_grid(spark, d)
-    s = SymMatrix(coo, n, Options(ordering="ND", limit=50_000.0)).analyse().supernodes
-    return s.withColumn("cost", panel_flops(F.col("width").cast("double"), F.col("height").cast("double")))
+    return SymMatrix(coo, n, Options(ordering="NATURAL", relaxed=False, max_size=0)).analyse()
 
 
-@query()
+@query(_grid(_SNODE + "SELECT sid, width::BIGINT AS width, height::INTEGER AS height, coalesce(parent, -1) AS parent, round(width * width * width / 3.0 + width * width * (height - width) + width * (height - width) * (height - width), 3) + 0.0::DOUBLE AS cost FROM e"))
+def supernode_plan(spark, d):
+    cost = panel_flops(F.col("width").cast("double"), F.col("height").cast("double"))
+    return _fundamental(spark, d).supernodes.select("sid", "width", "height", "parent", (F.round(cost, 3) + F.lit(0.0)).alias("cost"))
+
+
+@query(_grid(_SNODE + "SELECT (SELECT count(*) FROM s)::BIGINT AS supernodes, count(DISTINCT (sid, tgt))::BIGINT AS cells, count(*)::BIGINT AS blocks, round(count(*) / (SELECT count(*) FROM s), 6) + 0.0::DOUBLE AS blocks_per_supernode, round(count(*) / (SELECT sum(width) FROM s), 6) + 0.0::DOUBLE AS blocks_per_column, round(sum(n_rows) / count(DISTINCT (sid, tgt)), 6) + 0.0::DOUBLE AS rows_per_cell, round(sum(n_rows * width) / count(*), 6) + 0.0::DOUBLE AS entries_per_block FROM b JOIN (SELECT sid, width FROM s) USING (sid)"))
 def block_statistics(spark, d):
-    coo, n = part_grid(spark, d)
-    a = SymMatrix(coo, n).analyse()
-    return symbolic.block_statistics(symbolic.blocks(a.structure, a.supernodes))
+    a = _fundamental(spark, d)
+    found = symbolic.block_statistics(symbolic.blocks(a.structure, a.supernodes), a.supernodes)
+    return found.select("supernodes", "cells", "blocks", *(_R(c).alias(c) for c in ("blocks_per_supernode", "blocks_per_column", "rows_per_cell", "entries_per_block")))
 
 
-@query()
+@query(_grid(_SNODE + "SELECT tgt, count(*)::BIGINT AS updates, sum(n)::BIGINT AS blocks, max(r)::BIGINT AS max_rows, max(width)::BIGINT AS max_width, max(height)::BIGINT AS max_height FROM (SELECT sid, tgt, sum(n_rows) AS r, count(*) AS n FROM b WHERE sid <> tgt GROUP BY sid, tgt) JOIN e USING (sid) GROUP BY tgt"))
 def update_counts(spark, d):
-    coo, n = part_grid(spark, d)
-    a = SymMatrix(coo, n).analyse()
-    return symbolic.update_counts(symbolic.blocks(a.structure, a.supernodes))
+    a = _fundamental(spark, d)
+    return symbolic.update_counts(symbolic.blocks(a.structure, a.supernodes), a.supernodes)
+
+
+@query(_grid(_SNODE + "SELECT tgt, count(*) FILTER (WHERE sid % 4 <> tgt % 4)::BIGINT AS updates, count(DISTINCT sid % 4) FILTER (WHERE sid % 4 <> tgt % 4)::BIGINT AS aggregates FROM (SELECT DISTINCT sid, tgt FROM b WHERE sid <> tgt) GROUP BY tgt"))
+def aggregate_counts(spark, d):
+    """With supernodes dealt out to four processes in turn."""
+    a = _fundamental(spark, d)
+    return symbolic.aggregate_counts(symbolic.blocks(a.structure, a.supernodes), a.supernodes.select("sid", (F.col("sid") % 4).alias("process")))
 
 
 @query(_grid("SELECT k AS i, 0::INTEGER AS k, CASE WHEN k % 2 = 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS v FROM p"))

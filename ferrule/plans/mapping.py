@@ -15,12 +15,18 @@ def subtree_costs(sparent: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return total
 
 
+#: Operations that a task should have at least: below it, starting a task costs more than it saves.
+GRAIN = 2e8
+#: Rows of the largest dense front of a subtree (8 bytes squared); a taller supernode belongs to the top, whose cells are bounded.
+MAX_FRONT = 8192
+
+
 def cut(sparent: np.ndarray, width: np.ndarray, height: np.ndarray, slots: int, limit: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(grp, step) of each supernode. Whole subtrees that cost at most total / (4 slots) are one group each and form
-    step 0; a supernode above is a group of its own, one step after its last child."""
+    """(grp, step) of each supernode. Whole subtrees of at most ``limit`` operations (a quarter of a slot's share, or ``GRAIN`` if that is more) and
+    of no front over ``MAX_FRONT`` are one group each and form step 0; a supernode above is a group of its own, one step after its last child."""
     cost = panel_flops(width.astype(float), height.astype(float))
-    total = subtree_costs(sparent, cost)
-    limit = cost.sum() / (4 * slots) if limit is None else limit
+    limit = max(cost.sum() / (4 * slots), GRAIN) if limit is None else limit
+    total = subtree_costs(sparent, np.where(height > MAX_FRONT, np.inf, cost))
     ns = len(sparent)
     grp, step = np.full(ns, -1, np.int64), np.zeros(ns, np.int64)
     for s in range(ns - 1, -1, -1):
@@ -38,6 +44,32 @@ def cut(sparent: np.ndarray, width: np.ndarray, height: np.ndarray, slots: int,
     return grp, step
 
 
+def block_levels(rows: list[np.ndarray], width: np.ndarray, step: np.ndarray, size: int) -> tuple[np.ndarray, list, list]:
+    """For each supernode: its first column's number among the columns of the top (-1 below it); the levels of its columns' blocks (None below the
+    top); and, for roots of subtrees, the numbers of the rows above (None elsewhere). Blocks are ``size`` columns of the top; a block's level is one more than the
+    highest of the blocks whose factor reaches it, by the elimination tree of blocks."""
+    ns, high = len(width), step > 0
+    first = np.where(high, np.cumsum(np.where(high, width, 0)) - width, -1)
+    number = np.full(int(width.sum()), -1, np.int64)
+    for s in np.flatnonzero(high).tolist():
+        number[rows[s][: width[s]]] = first[s] + np.arange(width[s])
+    blocks = -(-int(np.where(high, width, 0).sum()) // size)
+    reach: list[set[int]] = [set() for _ in range(blocks)]
+    for s in np.flatnonzero(high).tolist():
+        own = np.unique(number[rows[s]] // size)
+        for b in np.unique(number[rows[s][: width[s]]] // size).tolist():
+            reach[b].update(own[own > b].tolist())
+    level = np.zeros(blocks, np.int64)
+    for b in range(blocks):
+        if reach[b]:
+            up = min(reach[b])
+            reach[up] |= reach[b] - {up}
+            level[up] = max(level[up], level[b] + 1)
+    levels = [level[(first[s] + np.arange(width[s])) // size] if high[s] else None for s in range(ns)]
+    above = [number[r[w:]] if not h and len(r) > w and number[r[w]] >= 0 else None for r, w, h in zip(rows, width.tolist(), high.tolist(), strict=True)]
+    return first, levels, above
+
+
 def balance(load: np.ndarray, parts: int) -> np.ndarray:
     """Each item to the least loaded part, in order."""
     held, out = np.zeros(parts), np.zeros(len(load), np.int64)
@@ -47,29 +79,80 @@ def balance(load: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def balance_by(kind: str, width: np.ndarray, height: np.ndarray, parts: int) -> np.ndarray:
-    """NNZ: entries of the panel; WORK: operations."""
-    return balance(width * height if kind == "NNZ" else panel_flops(width.astype(float), height.astype(float)), parts)
+def find_least(load: np.ndarray, group: list[int]) -> int:
+    """The least loaded process of a group."""
+    return group[int(np.argmin(load[group]))]
+
+
+def update_costs(rows: list[np.ndarray], width: np.ndarray, owner: np.ndarray, fan_in: bool, volume: bool = False) -> np.ndarray:
+    """What the updates among supernodes cost each of them: charged to the one that they come from (fan-in) or go to (fan-out). An update by m rows, n of them
+    in its target, over k columns costs the operations of the product of its m by k and k by n parts, or, as ``volume``, the m n entries that it moves."""
+    out = np.zeros(len(width))
+    for s, r in enumerate(rows):
+        below = r[width[s] :]
+        target, first = np.unique(owner[below], return_index=True)
+        m = len(below) - first
+        n = np.diff(np.append(first, len(below)))
+        np.add.at(out, np.full(len(target), s) if fan_in else target, m * n * (1.0 if volume else 2.0 * width[s]))
+    return out
+
+
+#: Names of ``assign``: greedy by entries or operations; or process groups split down the tree, with updates charged to their source (FI) or target (FO).
+BALANCERS = ("NNZ", "WORK", "SUBCUBE-FI", "SUBCUBE-FO", "SUBCUBE-VOLUME-FI", "SUBCUBE-VOLUME-FO")
+
+
+def assign(kind: str, sparent: np.ndarray, rows: list[np.ndarray], width: np.ndarray, parts: int) -> np.ndarray:
+    """The process of each supernode."""
+    if kind not in BALANCERS:
+        raise ValueError(f"unknown balancer {kind}")
+    height = np.array([len(r) for r in rows], np.int64)
+    if kind == "NNZ":
+        return balance(width * height, parts)
+    cost = panel_flops(width.astype(float), height.astype(float))
+    if kind == "WORK":
+        return balance(cost, parts)
+    volume = "VOLUME" in kind
+    owner = np.repeat(np.arange(len(width)), width)
+    cost = update_costs(rows, width, owner, kind.endswith("FI"), volume) + (0 if volume else width.astype(float) ** 3 / 3 + width**2 * (height - width))
+    groups = proportional(sparent, cost, parts)
+    load, out = np.zeros(parts), np.zeros(len(width), np.int64)
+    for s, (a, b) in enumerate(groups):
+        out[s] = find_least(load, list(range(a, b)))
+        load[out[s]] += cost[s]
+    return out
 
 
-def proportional(sparent: np.ndarray, width: np.ndarray, height: np.ndarray, parts: int, volume: bool = False) -> np.ndarray:
-    """First part of the range that a supernode's subtree gets: ranges split among children by their subtrees' cost."""
-    cost = (width * height).astype(float) if volume else panel_flops(width.astype(float), height.astype(float))
+def proportional(sparent: np.ndarray, cost: np.ndarray, parts: int) -> list[tuple[int, int]]:
+    """The range of processes of each supernode: all for the roots' forest, split among children by the cost of their subtrees."""
     total = subtree_costs(sparent, cost)
     ns = len(sparent)
     children: list[list[int]] = [[] for _ in range(ns + 1)]
     for s, p in enumerate(sparent.tolist()):
         children[p if p >= 0 else ns].append(s)
-    out = np.zeros(ns, np.int64)
+    out = [(0, parts)] * ns
     todo = [(ns, 0.0, float(parts))]
     while todo:
         s, a, b = todo.pop()
         if s < ns:
-            out[s] = min(int(a), parts - 1)
-        whole = sum(total[c] for c in children[s]) or 1.0
+            low = min(int(a), parts - 1)
+            out[s] = (low, max(low + 1, min(parts, int(np.ceil(b - 1e-9)))))
+        whole = sum(total[c] for c in children[s])
         at = a
         for c in sorted(children[s], key=lambda c: -total[c]):
-            share = (b - a) * total[c] / whole
+            share = (b - a) * (total[c] / whole if whole else 1 / len(children[s]))
             todo.append((c, at, at + share))
             at += share
     return out
+
+
+def tree_map(sparent: np.ndarray, owner: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The process of each block (i, j), i in the subtree of supernode j: by the wrapped square grid over that subtree's supernodes, each at its own process."""
+    first = np.arange(len(sparent))
+    for s, p in enumerate(sparent.tolist()):
+        if p >= 0:
+            first[p] = min(first[p], first[s])
+    size = j - first[j] + 1
+    side = np.ceil(np.sqrt(size)).astype(np.int64)
+    a, b = i - first[j], j - first[j]
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    return owner[first[j] + np.minimum(size - 1, low % side + side * (high % size // side))]

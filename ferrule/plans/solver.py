@@ -9,12 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.operators import factor, matrix, symbolic
+from ferrule.operators import cells, factor, matrix, ordering, symbolic
+from ferrule.operators.store import checkpointed
 from ferrule.plans import mapping
 
-#: Operations below which the whole tree is one group.
-SMALL = 2e8
-
 
 @dataclass(frozen=True)
 class Options:
@@ -23,22 +21,24 @@ class Options:
     max_size: int = 150
     relaxed: bool = True
     refine: str | None = None
-    slots: int = 8
-    limit: float | None = None  # operations of a subtree that is one group; None: by slots, or all if the problem is small
+    slots: int | None = None  # tasks at a time; None: the session's
+    limit: float | None = None  # operations of a subtree that is one task; None: see mapping.cut
+    cell: int = cells.SIZE  # side of the cells above the subtrees
     refinement_steps: int = 0
 
     def __post_init__(self):
-        if self.fact not in ("LL", "LDL"):
-            raise ValueError(f"unknown factorization {self.fact}")
+        for name, value, known in (("factorization", self.fact, ("LL", "LDL")), ("refinement", self.refine, (None, *symbolic.REFINEMENTS)), ("ordering", self.ordering, ordering.NAMES)):
+            if value not in known:
+                raise ValueError(f"unknown {name} {value}")
 
 
-_PLAN = "old array<long>, sid long, fc long, width long, rows array<long>, parent long, grp long, step long, nnz long, flops long"
+_PLAN = "old array<long>, sid long, fc long, width long, rows array<long>, parent long, grp long, step long, nnz long, flops long, top long, levels array<long>, trows array<long>"
 
 
 class SymMatrix:
     def __init__(self, coo: DataFrame, n: int, options: Options | None = None):
         self.coo, self.n, self.options = coo, n, options or Options()
-        self.plan = self.panels = None
+        self.plan = self.factor = None
 
     @classmethod
     def from_csc(cls, spark: SparkSession, colptr, rowind, nzval, options: Options | None = None, base: int | None = None):
@@ -50,8 +50,11 @@ class SymMatrix:
     def analyse(self, perm: DataFrame | None = None) -> SymMatrix:
         """The symbolic phase, in one task on an executor; ``perm`` replaces the ordering."""
         o, n = self.options, self.n
+        slots = o.slots or self.coo.sparkSession.sparkContext.defaultParallelism
+        matrix.validate(self.coo, n)
         given = self.coo.select(F.lit(0).alias("kind"), "i", "j")
         if perm is not None:
+            perm = ordering.user(perm, n)
             given = given.unionByName(perm.select(F.lit(1).alias("kind"), F.col("old").alias("i"), F.col("new").alias("j")))
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -60,13 +63,11 @@ class SymMatrix:
             s = symbolic.analyse_arrays(n, a["i"].to_numpy(), a["j"].to_numpy(), o.ordering, order, o.max_size, o.relaxed, o.refine)
             x, width = s["xsuper"], np.diff(s["xsuper"])
             height = np.array([len(r) for r in s["rows"]], np.int64)
-            limit = o.limit
-            if limit is None and mapping.panel_flops(width.astype(float), height.astype(float)).sum() <= SMALL:
-                limit = np.inf
-            grp, step = mapping.cut(s["sparent"], width, height, o.slots, limit)
-            return pd.DataFrame({"old": [s["order"][a:b] for a, b in zip(x[:-1], x[1:], strict=True)], "sid": np.arange(len(width)), "fc": x[:-1], "width": width, "rows": s["rows"], "parent": s["sparent"], "grp": grp, "step": step, "nnz": [int(s["cc"][a:b].sum()) for a, b in zip(x[:-1], x[1:], strict=True)], "flops": [int((s["cc"][a:b] ** 2).sum()) for a, b in zip(x[:-1], x[1:], strict=True)]})
+            grp, step = mapping.cut(s["sparent"], width, height, slots, o.limit)
+            top, levels, trows = mapping.block_levels(s["rows"], width, step, o.cell)
+            return pd.DataFrame({"top": top, "levels": levels, "trows": trows, "old": [s["order"][a:b] for a, b in zip(x[:-1], x[1:], strict=True)], "sid": np.arange(len(width)), "fc": x[:-1], "width": width, "rows": s["rows"], "parent": s["sparent"], "grp": grp, "step": step, "nnz": [int(s["cc"][a:b].sum()) for a, b in zip(x[:-1], x[1:], strict=True)], "flops": [int((s["cc"][a:b] ** 2).sum()) for a, b in zip(x[:-1], x[1:], strict=True)]})[[c.split()[0] for c in _PLAN.split(", ")]]
 
-        self.plan = factor.checkpointed(given.groupBy(F.lit("all").alias("_all")).applyInPandas(run, _PLAN))
+        self.plan = checkpointed(given.groupBy(F.lit("all").alias("_all")).applyInPandas(run, _PLAN))
         return self
 
     @property
@@ -84,34 +85,36 @@ class SymMatrix:
     def factorize(self) -> SymMatrix:
         if self.plan is None:
             self.analyse()
-        self.panels = factor.factorize(matrix.permute(self.coo, self.perm), self.plan, self.options.fact == "LDL")
+        self.factor = factor.factorize(matrix.permute(self.coo, self.perm), self.plan, self.options.fact == "LDL", self.options.cell)
         return self
 
     def solve(self, b: DataFrame, nrhs: int | None = None) -> DataFrame:
         """x(i, k, v) for b(i, k, v), in the matrix's own numbering; the factor is kept for further calls."""
-        if self.panels is None:
+        if self.factor is None:
             self.factorize()
-        nrhs = nrhs or (b.agg(F.max("k")).first()[0] or 0) + 1
+        nrhs = (b.agg(F.max("k")).first()[0] or 0) + 1 if nrhs is None else nrhs
+        if not nrhs:  # no right-hand side: nothing is solved
+            return b.select("i", "k", "v").limit(0)
         x = self._solve(b, nrhs)
         for _ in range(self.options.refinement_steps):
             r = matrix.axpy(-1.0, matrix.multiply(self.coo, x), b)
-            x = factor.checkpointed(matrix.axpy(1.0, self._solve(r, nrhs), x))
+            x = checkpointed(matrix.axpy(1.0, self._solve(r, nrhs), x))
         return x
 
     def _solve(self, b: DataFrame, nrhs: int) -> DataFrame:
-        x = factor.solve(self.panels, self.plan, matrix.permute_rows(b, self.perm), nrhs)
+        x = factor.solve(self.factor, matrix.permute_rows(b, self.perm), nrhs)
         return x.join(self.perm, x["i"] == F.col("new")).select(F.col("old").alias("i"), "k", "v")
 
     def logdet(self) -> float:
         scale = 1.0 if self.options.fact == "LDL" else 2.0
-        return float(factor.diagonal(self.panels).agg(F.sum(F.log(F.abs("v"))) * scale).first()[0])
+        return float(factor.diagonal(self.factor).agg(F.sum(F.log(F.abs("v"))) * scale).first()[0])
 
     def inertia(self) -> DataFrame:
         """Numbers of positive and negative pivots of LDL'."""
-        return factor.diagonal(self.panels).agg(F.count_if(F.col("v") > 0).alias("positive"), F.count_if(F.col("v") < 0).alias("negative"))
+        return factor.diagonal(self.factor).agg(F.count_if(F.col("v") > 0).alias("positive"), F.count_if(F.col("v") < 0).alias("negative"))
 
     def factor_coo(self) -> DataFrame:
-        return factor.to_coo(self.panels)
+        return factor.to_coo(self.factor)
 
     def with_options(self, **changes) -> SymMatrix:
         return SymMatrix(self.coo, self.n, replace(self.options, **changes))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def part_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -30,6 +31,24 @@ def order_stars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return edges.unionByName(diagonal), n
 
 
+def part_path(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """A path through all parts in order of size: neighbours are far apart in number."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_size").cast("long") * 1_000_000_000 + F.col("p_partkey")).alias("at"))
+    order = p.repartitionByRange("at").sortWithinPartitions("at").withColumn("r", F.monotonically_increasing_id()).select("p_partkey", "r", F.spark_partition_id().alias("part"))
+    first = order.groupBy("part").agg(F.min("r").alias("low"), F.count(F.lit(1)).alias("c"))  # a row a partition
+    first = first.withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    place = order.join(F.broadcast(first), "part").select("p_partkey", (F.col("before") + F.col("r") - F.col("low")).alias("place"))
+    edges = place.select(F.col("p_partkey").alias("a"), F.col("place")).join(place.select(F.col("p_partkey").alias("b"), (F.col("place") - 1).alias("place")), "place")
+    off = edges.select(F.greatest("a", "b").alias("i"), F.least("a", "b").alias("j"), F.lit(-1.0).alias("v"))
+    return off.unionByName(p.select(F.col("p_partkey").alias("i"), F.col("p_partkey").alias("j"), F.lit(3.0).alias("v"))), p.count()
+
+
+def central_stars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The stars of ``order_stars`` with their centres numbered first: as numbered, each star fills in wholly; leaves first, nothing does."""
+    coo, n = order_stars(spark, sf_dir)
+    return coo.select((n - 1 - F.col("j")).alias("i"), (n - 1 - F.col("i")).alias("j"), "v"), n
+
+
 def dirichlet_grid(spark: SparkSession, m: int, shift: float) -> tuple[DataFrame, int]:
     n = m * m
     k = spark.range(n).withColumnRenamed("id", "j")

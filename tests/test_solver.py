@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from ferrule.functions.basic import process_map
-from ferrule.operators import matrix, ordering
+from ferrule.operators import factor, matrix, ordering
 from ferrule.plans import catalog
 from ferrule.plans.solver import Options, SymMatrix
 from ferrule.sources import readers
@@ -16,7 +16,7 @@ from ferrule.sources.fixtures import exact_solution, part_grid
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["spmm", "permute_reversed", "elimination_tree", "fundamental_supernodes", "solve_ll_distributed", "solve_ldl_distributed", "map_modwrap2d", "residual_of_half"])
+@pytest.mark.parametrize("name", ["spmm", "permute_reversed", "elimination_tree", "fundamental_supernodes", "solve_ll_distributed", "solve_ldl_distributed", "map_modwrap2d", "residual_of_half", "factor_reconstruction_ldl_cells", "file_harwell_boeing", "file_text", "file_binary_csc", "order_rcm", "update_counts", "block_statistics", "relative_order", "is_permuted"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("part", "orders"):
@@ -71,9 +71,81 @@ def test_orderings_are_in_the_result(spark):
     assert got["mmd"] != got["rcm"] != got["ndgrid"]
 
 
-def test_tree_map_is_refused(spark):
-    with pytest.raises(NotImplementedError, match="MODWRAP2DTREE"):
-        process_map("MODWRAP2DTREE", F.col("i"), F.col("j"), 16)
+def test_unknown_names_are_refused(spark):
+    for name in ("MODWRAP2DTREE", "ROW", ""):
+        with pytest.raises(ValueError, match="unknown process map"):
+            process_map(name, F.col("i"), F.col("j"), 16)
+    for wrong in ({"ordering": "XYZ"}, {"refine": "SET10"}, {"fact": "QR"}):
+        with pytest.raises(ValueError, match="unknown"):
+            Options(**wrong)
+    both = np.array([[2.0, 1], [1, 2]])
+    i, j = np.nonzero(both)
+    with pytest.raises(ValueError, match="outside"):
+        SymMatrix(spark.createDataFrame([(int(a), int(b), 1.0) for a, b in zip(i, j, strict=True)], "i long, j long, v double"), 2).analyse()
+    with pytest.raises(ValueError, match="not a permutation"):
+        SymMatrix(dense(spark, both), 2).analyse(spark.createDataFrame([(0, 0), (2, 1)], "old long, new long"))
+    assert SymMatrix(dense(spark, both), 2).solve(spark.createDataFrame([], "i long, k int, v double"), 0).count() == 0
+
+
+@pytest.mark.parametrize(("fact", "cell", "limit"), [("LL", 4, 0.0), ("LDL", 4, 60.0), ("LDL", 7, 300.0), ("LL", 64, 0.0)])
+def test_cells_equal_dense_algebra(spark, fact, cell, limit):
+    r = np.random.RandomState(cell)
+    a = np.tril(r.rand(50, 50) < 0.08, -1) * r.randn(50, 50)
+    a = a + a.T + np.diag(r.choice([-1.0, 1.0], 50) if fact == "LDL" else np.ones(50)) * (1 + np.abs(a + a.T).sum(1))
+    m = SymMatrix(dense(spark, a), 50, Options(ordering="ND", fact=fact, cell=cell, limit=limit)).factorize()
+    b = r.randn(50, 2)
+    rhs = spark.createDataFrame([(i, k, float(b[i, k])) for i in range(50) for k in range(2) if i != 3], "i long, k int, v double")  # row 3 has none: zero
+    b[3] = 0
+    x = np.zeros((50, 2))
+    for row in m.solve(rhs).collect():
+        x[row["i"], row["k"]] += row["v"]
+    assert np.allclose(a @ x, b)
+    new = {row["old"]: row["new"] for row in m.perm.collect()}
+    p = np.argsort([new[k] for k in range(50)])
+    l, d = np.zeros((50, 50)), np.ones(50)
+    for row in m.factor_coo().collect():
+        l[row["i"], row["j"]] = row["v"]
+    if fact == "LDL":
+        d = np.array([row["v"] for row in sorted(factor.diagonal(m.factor).collect(), key=lambda row: row["j"])])
+        assert m.inertia().first()[:] == ((np.linalg.eigvalsh(a) > 0).sum(), (np.linalg.eigvalsh(a) < 0).sum())
+    assert np.allclose((l * d) @ l.T, a[np.ix_(p, p)]) and abs(m.logdet() - np.linalg.slogdet(a)[1]) < 1e-8
+    assert abs(factor.block_dump(m.factor).agg({"square": "sum"}).first()[0] - (l * l).sum()) < 1e-6
+
+
+def test_harwell_boeing_variants(spark, tmp_path):
+    def read(name, text, **more):
+        (tmp_path / name).write_text(text)
+        coo, n = readers.read_matrix(spark, str(tmp_path / name), "RB", **more)
+        return n, sorted(map(tuple, coo.collect()))
+
+    want = (2, [(0, 0, 2.0), (1, 0, -1.0), (1, 1, 3.0)])
+    ptr, row = "   1   3   4\n", "   1   2   2\n"
+    assert read("real", f"title\n 3 1 1 1 0\nRSA 2 2 3 0\n(3I4) (3I4) (3E12.4)\n{ptr}{row}  2.0000D+00 -1.0000E+00  3.0000E+00\n") == want
+    assert read("rhs", f"title\n 3 1 1 1 1\nRSA 2 2 3 0\n(3I4) (3I4) (1P,3E12.4)\nF 1 0\n{ptr}{row}  2.0000E+00 -1.0000E+00  3.0000E+00\n".replace("(1P,3E12.4)", "(3E12.4)")) == want
+    assert read("pattern", f"title\n 2 1 1 0 0\nPSA 2 2 3 0\n(3I4) (3I4)\n{ptr}{row}") == (2, [(0, 0, 1.0), (1, 0, 1.0), (1, 1, 1.0)])
+    complex_ = f"title\n 3 1 1 2 0\nCSA 2 2 3 0\n(3I4) (3I4) (4E8.1)\n{ptr}{row} 2.0E+00 0.0E+00-1.0E+00 0.0E+00\n 3.0E+00 4.0E+00\n"
+    assert read("complex", complex_) == want
+    assert read("abs", complex_, use_abs=True) == (2, [(0, 0, 2.0), (1, 0, 1.0), (1, 1, 5.0)])
+    assert read("whole", "t\n 3 1 1 1 0\nRUA 2 2 4 0\n(3I4) (4I4) (4E8.1)\n   1   3   5\n   1   2   1   2\n 2.0E+00-1.0E+00-1.0E+00 3.0E+00\n") == want
+    with pytest.raises(ValueError, match="neither"):
+        read("odd", "t\n 3 1 1 1 0\nRUA 3 3 5 0\n(4I4) (5I4) (5E8.1)\n   1   4   5   6\n   1   2   3   1   3\n 2.0E+00-1.0E+00-1.0E+00-1.0E+00 3.0E+00\n")
+
+
+def test_lines_and_words_of_split_files(spark, tmp_path):
+    from ferrule.functions.scan import numbered_lines, numbered_words
+
+    text = [f"{k} " * (k % 7) for k in range(3000)]
+    (tmp_path / "f").write_text("\n".join(text) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        lines = numbered_lines(spark, str(tmp_path / "f"))
+        assert lines.select("at").distinct().count() > 5
+        assert [r["value"] for r in sorted(lines.collect(), key=lambda r: r["line"])] == text
+        words = sorted(map(tuple, numbered_words(lines).collect()))
+        assert [w for _, w in words] == " ".join(text).split() and [p for p, _ in words] == list(range(len(words)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_matrix_market_round_trip(spark, tmp_path):
