@@ -99,7 +99,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger in the folder ``path``; without rows if nothing was written there yet."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], LEDGER)
+        return spark.range(0).select(F.from_json(F.lit("{}"), LEDGER).alias("x")).select("x.*")
     return spark.read.schema(LEDGER).parquet(path)
 
 
@@ -113,9 +113,9 @@ def record(versions: DataFrame, path: str, rules=RULES) -> DataFrame:
 
 def findings(ledger: DataFrame, rules=RULES) -> DataFrame:
     """blob, kind, version, no (of the rule), start, end of what the ledger holds for these rules, one row a finding."""
-    of = ledger.sparkSession.createDataFrame([(r.name, r.kind, r.version, k) for k, r in enumerate(rules)], "rule string, kind string, version int, no int")
-    each = ledger.select("blob", F.explode("found").alias("x")).select("blob", "x.*")
-    return each.join(F.broadcast(of), "rule").select("blob", "kind", "version", "no", "start", "end")
+    of = F.create_map(*(x for k, r in enumerate(rules) for x in (F.lit(r.name), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(k).alias("no")))))
+    each = ledger.select("blob", F.explode("found").alias("x")).withColumn("of", F.try_element_at(of, F.col("x.rule"))).where(F.col("of").isNotNull())
+    return each.select("blob", "of.*", "x.start", "x.end")
 
 
 def by_path(versions: DataFrame, found: DataFrame, path: str = "doc_id", rules=RULES) -> DataFrame:
