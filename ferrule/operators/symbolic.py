@@ -55,18 +55,49 @@ def postorder(parent: np.ndarray, key: np.ndarray | None = None) -> np.ndarray:
 
 
 def counts(cols: list[np.ndarray], parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of each column and row of the factor, diagonal included, by walking each row's subtree; the factor isn't formed."""
+    """Entries of each column and row of the factor, diagonal included, in about the matrix's entries many steps: each row's subtree is known by
+    its leaves (the skeleton), and the paths from two leaves that follow one another meet at their least common ancestor."""
     n = len(cols)
-    cc, rc, mark, up = [1] * n, [1] * n, [-1] * n, parent.tolist()
-    for i in range(n):
-        mark[i] = i
-        for k in cols[i].tolist():
-            while mark[k] != i:
-                mark[k] = i
-                cc[k] += 1
-                rc[i] += 1
-                k = up[k]
-    return np.array(cc, np.int64), np.array(rc, np.int64)
+    post = postorder(parent).tolist()
+    up, place = parent.tolist(), [0] * n
+    for k, v in enumerate(post):
+        place[v] = k
+    first, level, change = place[:], [0] * n, [0] * n
+    for v in post:  # children before parents
+        if up[v] >= 0:
+            first[up[v]] = min(first[up[v]], first[v])
+    for v in reversed(post):
+        level[v] = level[up[v]] + 1 if up[v] >= 0 else 0
+        change[v] = int(first[v] == place[v])  # a leaf of the tree begins a column of its own
+    below = np.repeat(np.arange(n), [len(c) for c in cols])
+    at = np.concatenate([*cols, np.zeros(0, np.int64)]).astype(np.int64)
+    by = np.argsort(at, kind="stable")
+    rows = np.split(below[by], np.searchsorted(at[by], np.arange(1, n))) if n else []
+    rc, last_first, last_leaf, ancestor = [1] * n, [-1] * n, [-1] * n, list(range(n))
+    for j in post:
+        if up[j] >= 0:
+            change[up[j]] -= 1
+        for i in rows[j].tolist():
+            if first[j] <= last_first[i]:
+                continue  # no leaf of row i's subtree
+            last_first[i] = first[j]
+            before, last_leaf[i] = last_leaf[i], j
+            change[j] += 1
+            if before < 0:
+                rc[i] += level[j] - level[i]
+                continue
+            meet = before
+            while ancestor[meet] != meet:
+                ancestor[meet] = ancestor[ancestor[meet]]
+                meet = ancestor[meet]
+            change[meet] -= 1
+            rc[i] += level[j] - level[meet]
+        if up[j] >= 0:
+            ancestor[j] = up[j]
+    for v in post:
+        if up[v] >= 0:
+            change[up[v]] += change[v]
+    return np.array(change, np.int64), np.array(rc, np.int64)
 
 
 def supernodes(parent: np.ndarray, cc: np.ndarray, max_size: int = 0) -> np.ndarray:
