@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences: five stages, each an operator of ``ferrule.llm``."""
+"""From raw documents to packed training sequences: five stages, each an operator of ``ferrule.llm``.
+
+Every stage but the last returns the columns of ``docs`` and works on all rows of its predecessor. Null text: goes in the first stage, as nothing in
+it is in a language; a stage called alone keeps it (line dedup, decontamination), or takes it as empty (SimHash: one node with all empty texts; packing: one piece).
+Empty text: likewise. Very long texts are processed whole in each stage. Ties and repeated rows: of rows that are equal, or of one component, SimHash keeps the
+smallest doc_id; rows with one doc_id and text are one document to line dedup. Null doc_ids are kept and come first in order. Empty table: no rows. Extra
+columns are kept up to packing, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +18,7 @@ from ferrule.llm.shared import materialise, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text in a language go."""
+    """Documents go whose text no learned language explains."""
     return language_id.accept(docs)
 
 
@@ -39,8 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Tokens and fingerprints are beyond SQL. Tests hold the doc_ids of run() against the same stages called one by one, and
-#: most operators against brute-force versions of their own; no independent version of the whole pipeline exists.
+#: Code lengths, fingerprints and tokens are beyond SQL: tests/llm/test_brute_force.py holds run() against five sequential stages of its own.
 ORACLE_SQL = None
 
 
