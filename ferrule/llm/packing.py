@@ -78,14 +78,12 @@ def _shrink(count: np.ndarray, capacity: int) -> list[Pattern]:
 
 def _best_pair(count: np.ndarray, fits: np.ndarray, room: int) -> tuple[int, int] | None:
     """The two pieces of the largest sum within ``room``, larger first; of equal sums the one with the largest piece."""
-    found, low = None, 0
-    for high in range(len(fits) - 1, -1, -1):
-        x = int(fits[high])
-        upto = int(np.searchsorted(fits, room - x, side="right")) - 1
-        low = min(upto, high if count[x] > 1 else high - 1)
-        if low >= 0 and (found is None or x + int(fits[low]) > sum(found)):
-            found = (x, int(fits[low]))
-    return found
+    if not len(fits):
+        return None
+    low = np.minimum(np.searchsorted(fits, room - fits, side="right"), np.arange(len(fits)) + (count[fits] > 1)) - 1
+    total = np.where(low >= 0, fits + fits[np.maximum(low, 0)], -1)
+    at = len(fits) - 1 - int(total[::-1].argmax())
+    return (int(fits[at]), int(fits[low[at]])) if total[at] > 0 else None
 
 
 def _no_pair(count: np.ndarray, beyond, room: int, j: int) -> bool:
