@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ferrule.llm.shared import materialise
+
 ORDER, MIN_CONTEXT = 3, 8
 #: Documents of a language that are learned from, and bytes of them together.
 TRAIN_DOCS, TRAIN_BYTES = 400, 2_000_000
@@ -33,8 +35,8 @@ UNKNOWN = "und"
 TABLE_BYTES = 256_000_000
 #: Bits of a byte in no language: what a byte costs if nothing is known of it.
 PLAIN_BITS = 8.0
-#: Ranges of hashed doc_ids (a power of two), of which those that hold the first ``TRAIN_DOCS`` of a language are looked at.
-HASH_RANGES = 65_536
+#: Leading bits of hashed doc_ids by which ranges are counted, one after another: 256 ranges at a time of a language with many documents.
+HASH_BITS = (8, 16, 24)
 
 
 def _has_letter(text: str = "text"):
@@ -122,15 +124,16 @@ def train(texts: dict[str, list[bytes]], table_bytes: int = TABLE_BYTES) -> Mode
 def learn(docs: DataFrame) -> Model | None:
     """The frozen model; None without a labelled document."""
     h = F.xxhash64("doc_id")
-    # ranges of hashes are counted first, so no more than a range over TRAIN_DOCS of a language meet in its window
-    width = (HASH_RANGES - 1).bit_length()
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", F.shiftright(h, 64 - width).alias("_h")).distinct()
-    before = F.sum("_n").over(W.partitionBy("lang").orderBy("_h").rowsBetween(W.unboundedPreceding, -1))
-    ranges = labelled.groupBy("lang", "_h").agg(F.count(F.lit(1)).alias("_n"))
-    first = ranges.withColumn("_b", F.coalesce(before, F.lit(0))).where(F.col("_b") < TRAIN_DOCS).select("lang", "_h")
-    order = W.partitionBy("lang").orderBy(h, "doc_id")
-    few = labelled.join(F.broadcast(first), ["lang", "_h"]).select("doc_id", "lang")
-    chosen = few.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= TRAIN_DOCS).drop("_r")
+    few = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang")
+    # finer and finer ranges of hashes are counted, and those passed over that begin after TRAIN_DOCS of a language: neither
+    # a language's ranges nor, in the end, its documents are many where they meet
+    for bits in HASH_BITS:
+        ranged = few.withColumn("_h", F.shiftright(h, 64 - bits))
+        before = F.sum("_n").over(W.partitionBy("lang").orderBy("_h").rowsBetween(W.unboundedPreceding, -1))
+        counted = ranged.distinct().groupBy("lang", "_h").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.coalesce(before, F.lit(0)))
+        first = materialise(counted.where(F.col("_b") < TRAIN_DOCS).select("lang", "_h"))
+        few = ranged.join(F.broadcast(first), ["lang", "_h"], "left_semi").select("doc_id", "lang")
+    chosen = few.distinct().withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy(h, "doc_id"))).where(F.col("_r") <= TRAIN_DOCS).drop("_r")
     own = docs.select("doc_id", "lang", F.struct(F.xxhash64("text"), F.col("text").cast("string").alias("text")).alias("x")).where(F.octet_length("x.text") <= TRAIN_BYTES)
     rows = own.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("x").alias("x")).select("doc_id", "lang", "x.text")
     size = F.sum(F.octet_length("text")).over(W.partitionBy("lang").orderBy(h, "doc_id").rowsBetween(W.unboundedPreceding, 0))
