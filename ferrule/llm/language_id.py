@@ -33,8 +33,9 @@ TRAIN_DOCS, TRAIN_BYTES = 400, 2_000_000
 UNKNOWN = "und"
 #: Of the table of costs, eight for each context, symbol and language.
 TABLE_BYTES = 256_000_000
-#: Bits of a byte in no language: what a byte costs if nothing is known of it.
-PLAIN_BITS = 8.0
+#: Bits of a byte from which on a text is in no learned language: a plain byte's eight, and as much again as half of it for escapes. Short texts that are keys by
+#: half cost 9 in their own language, those in scripts that training never met 16 and more.
+FOREIGN_BITS = 12.0
 #: Leading bits of hashed doc_ids by which ranges are counted, one after another: 256 ranges at a time of a language with many documents.
 HASH_BITS = (8, 16, 24)
 
@@ -172,8 +173,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def accept(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns kept, whose text is in some learned language.
 
-    Rejected are null texts and texts without a letter, texts whose best label is ``und`` itself, and texts that no language's statistics
-    make shorter: their best code length isn't under ``PLAIN_BITS`` a byte, so the most alike language explains them no better than none. The
+    Rejected are null texts and texts without a letter, texts whose best label is ``und`` itself, and texts that no language explains: their
+    best code length is ``FOREIGN_BITS`` a byte or more, well over what the bytes take as they are. The
     verdict needs the text alone, so no join: rows are scored in place and rejected ones dropped. Without a model there is nothing to
     score with, and a letter is enough.
     """
@@ -192,7 +193,7 @@ def accept(docs: DataFrame) -> DataFrame:
                 data = np.frombuffer(b"\0\0\0" + text.as_py().encode(), np.uint8)
                 bits = model.bits(data, np.array([0, len(data)]))[0]
                 best = int(bits.argmin())
-                ok[k] = model.langs[best] != UNKNOWN and bits[best] < PLAIN_BITS * (len(data) - ORDER)
+                ok[k] = model.langs[best] != UNKNOWN and bits[best] < FOREIGN_BITS * (len(data) - ORDER)
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return lettered.mapInArrow(keep, docs.schema)
