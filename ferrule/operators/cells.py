@@ -1,6 +1,6 @@
 """Factorization and sweeps of the top of the elimination tree by square cells of bounded size.
 
-The columns above the subtrees are numbered anew, 0 to n-1, and cut into blocks of ``SIZE``. A cell (bi, bj) is a dense block, a row of a DataFrame; the
+The columns above the subtrees are numbered anew, and cut into blocks of at most ``SIZE`` (see ``plans.mapping.block_levels``). A cell (bi, bj) is a dense block, a row of a DataFrame; the
 factor's fill between blocks gives a tree of block columns, and block columns of one level don't depend on each other. A level is two jobs: its diagonal cells are
 factored and the cells below solved against them; then products of cells of one column are subtracted from the cells to their right. Products are dealt out over a square
 grid of tasks for each column, so a long column isn't one task's work, and are added up inside each task before they are shuffled.
@@ -22,6 +22,8 @@ from ferrule.operators.store import Steps, checkpointed
 SIZE = 256
 #: Cells that a task adds products up in before it sends them on.
 HELD = 64
+#: Pieces of subtrees that a task adds up into one cell, about.
+PIECES = 512
 CELL = "lvl long, bi long, bj long, val array<double>"
 FACTORED = CELL + ", diag array<double>, inv array<double>"
 PIECE = "lvl long, solved boolean, b long, val array<double>"
@@ -37,7 +39,7 @@ def _rows(frame: pd.DataFrame, *names: str):
 
 
 def _added(key: list[str]):
-    def run(k, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(k, frame):
         total = np.asarray(frame["val"].iloc[0]).copy()
         for x in frame["val"].iloc[1:]:
             total += np.asarray(x)
@@ -75,39 +77,41 @@ class Top:
     cells: Steps
     column: DataFrame
     levels: dict[int, int]  # of each block
-    n: int
+    heights: dict[int, int]  # its columns
     size: int
 
     @property
     def depth(self) -> int:
         return max(self.levels.values()) + 1
 
+    def _sized(self) -> DataFrame:
+        """All cells with their rows (h) and columns (w)."""
+        side = self.column.groupBy(F.floor(F.col("t") / self.size).alias("b")).agg(F.count(F.lit(1)).alias("n"))  # one row a block
+        h, w = side.select(F.col("b").alias("bi"), F.col("n").alias("h")), side.select(F.col("b").alias("bj"), F.col("n").alias("w"))
+        return self.cells.every().join(F.broadcast(h), "bi").join(F.broadcast(w), "bj")
+
     def to_coo(self) -> DataFrame:
-        width = F.least(F.lit(self.size), F.lit(self.n) - F.col("bj") * self.size)
-        p = self.cells.every().select("bi", "bj", width.alias("w"), F.posexplode("val").alias("at", "v"))
+        p = self._sized().select("bi", "bj", "w", F.posexplode("val").alias("at", "v"))
         p = p.select((F.col("bi") * self.size + F.floor(F.col("at") / F.col("w"))).alias("ti"), (F.col("bj") * self.size + F.col("at") % F.col("w")).alias("tj"), "v").where("ti >= tj")
         rows, cols = (self.column.select(F.col("t").alias(f"t{x}"), F.col("i").alias(x)) for x in "ij")
         return p.join(rows, "ti").join(cols, "tj").select("i", "j", "v")
 
     def diagonal(self) -> DataFrame:
-        own = self.cells.every().where("bi = bj")
+        own = self._sized().where("bi = bj")
         d = own.where("diag is not null").select("bj", F.posexplode("diag").alias("at", "v")).select((F.col("bj") * self.size + F.col("at")).alias("t"), "v")
-        w = F.least(F.lit(self.size), F.lit(self.n) - F.col("bj") * self.size)
-        l = own.where("diag is null").select("bj", w.alias("w"), F.posexplode("val").alias("at", "v")).where(F.col("at") % (F.col("w") + 1) == 0)
+        l = own.where("diag is null").select("bj", "w", F.posexplode("val").alias("at", "v")).where(F.col("at") % (F.col("w") + 1) == 0)
         both = d.unionByName(l.select((F.col("bj") * self.size + F.col("at") % F.col("w")).alias("t"), "v"))
         return both.join(self.column.select("t", F.col("i").alias("j")), "t").select("j", "v")
 
     def dump(self) -> DataFrame:
-        side = lambda b: F.least(F.lit(self.size), F.lit(self.n) - F.col(b) * self.size).cast("long")
-        return self.cells.every().select(F.lit("cell").alias("kind"), (F.col("bi") * self.size).alias("first_row"), (F.col("bj") * self.size).alias("first_col"), side("bi").alias("n_rows"), side("bj").alias("n_cols"), F.aggregate("val", F.lit(0.0), lambda s, x: s + x * x).alias("square"))
+        return self._sized().select(F.lit("cell").alias("kind"), (F.col("bi") * self.size).alias("first_row"), (F.col("bj") * self.size).alias("first_col"), F.col("h").alias("n_rows"), F.col("w").alias("n_cols"), F.aggregate("val", F.lit(0.0), lambda s, x: s + x * x).alias("square"))
 
     def solve(self, b: DataFrame, nrhs: int) -> DataFrame:
         """x(i, k, v) on the columns of the top, for b(i, k, v); what b has elsewhere is passed over, and rows that it has more than once add up."""
-        spark, size, n, levels = b.sparkSession, self.size, self.n, self.levels
-        height = lambda block: min(size, n - block * size)
+        spark, size, levels, height = b.sparkSession, self.size, self.levels, self.heights.__getitem__
         flat = b.join(self.column, "i").select("lvl", F.floor(F.col("t") / size).alias("b"), (F.col("t") % size).cast("int").alias("r"), "k", "v")
 
-        def gather(key, frame: pd.DataFrame) -> pd.DataFrame:
+        def gather(key, frame):
             val = np.zeros((height(key[1]), nrhs))
             np.add.at(val, (frame["r"].to_numpy(), frame["k"].to_numpy()), frame["v"].to_numpy())
             return pd.DataFrame([(key[0], False, key[1], val.ravel())], columns=["lvl", "solved", "b", "val"])
@@ -174,19 +178,19 @@ def factorize(coo: DataFrame, plan: DataFrame, updates: DataFrame, ldl: bool = F
     """``updates``: bi, bj, grp, r, s, v: dense pieces (rows r, columns s of a cell) that subtrees add; ``coo``: the permuted matrix."""
     spark = coo.sparkSession
     column = checkpointed(columns(plan))
-    n = column.count()
-    if not n:
+    # one row a block of at most SIZE columns
+    blocks = column.groupBy(F.floor(F.col("t") / size).alias("b"), "lvl").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not blocks:
         return None
-    # one row a block of SIZE columns
-    levels = {r["b"]: r["lvl"] for r in column.select(F.floor(F.col("t") / size).alias("b"), "lvl").distinct().collect()}
-    height = lambda block: min(size, n - block * size)
+    levels, heights = {r["b"]: r["lvl"] for r in blocks}, {r["b"]: r["n"] for r in blocks}
+    height = heights.__getitem__
     rows, cols = (column.select(F.col("i").alias(x), F.col("t").alias(f"t{x}")) for x in "ij")
     t = coo.join(rows, "i").join(cols, "j").select(F.greatest("ti", "tj").alias("ti"), F.least("ti", "tj").alias("tj"), "v")
     own = t.groupBy(F.floor(F.col("ti") / size).alias("bi"), F.floor(F.col("tj") / size).alias("bj")).agg(F.collect_list(F.struct((F.col("ti") % size).cast("int").alias("r"), (F.col("tj") % size).cast("int").alias("s"), "v")).alias("x"))  # a cell's at most
     own = own.select("bi", "bj", F.lit(-1).cast("long").alias("grp"), F.col("x.r").alias("r"), F.col("x.s").alias("s"), F.col("x.v").alias("v"))
     diagonal = column.select(F.floor(F.col("t") / size).alias("bi")).distinct().select("bi", F.col("bi").alias("bj"), F.lit(-1).cast("long").alias("grp"), F.array().cast("array<int>").alias("r"), F.array().cast("array<int>").alias("s"), F.array().cast("array<double>").alias("v"))
 
-    def assemble(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def assemble(key, frame):
         bi, bj = key[:2]
         val = np.zeros((height(bi), height(bj)))
         for grp, r, s, v in _rows(frame, "grp", "r", "s", "v"):
@@ -196,8 +200,10 @@ def factorize(coo: DataFrame, plan: DataFrame, updates: DataFrame, ldl: bool = F
                 val[np.ix_(r, s)] += np.asarray(v).reshape(len(r), len(s))
         return pd.DataFrame([(levels[bj], bi, bj, val.ravel())], columns=["lvl", "bi", "bj", "val"])
 
-    # what many subtrees add to one cell is added up in sixteen parts first
-    parts = own.unionByName(updates).unionByName(diagonal).withColumn("salt", F.pmod("grp", F.lit(16)))
+    # where subtrees add many pieces to one cell, they are added up by so many at a time first
+    pieces = F.broadcast(updates.groupBy("bi", "bj").agg(F.ceil(F.count(F.lit(1)) / PIECES).alias("parts")))  # one row a cell
+    split = updates.withColumn("_h", F.pmod(F.xxhash64("grp", "r", "s"), F.lit(2**31))).join(pieces, ["bi", "bj"]).select("bi", "bj", "grp", "r", "s", "v", (F.col("_h") % F.col("parts")).alias("salt"))
+    parts = split.unionByName(own.unionByName(diagonal).withColumn("salt", F.lit(0).cast("long")))
     sums = _added(["lvl", "bi", "bj"])
     left = checkpointed(parts.groupBy("bi", "bj", "salt").applyInPandas(assemble, CELL).groupBy("lvl", "bi", "bj").applyInPandas(sums, CELL))
 
@@ -223,8 +229,12 @@ def factorize(coo: DataFrame, plan: DataFrame, updates: DataFrame, ldl: bool = F
         sums = _Sums(["lvl", "bi", "bj", "val"])
         for f in frames:
             for i, j, k, a, b, d in _rows(f, "i", "j", "bj", "a", "b", "diag"):
+                if i != j and levels[i] <= levels[j]:
+                    continue  # no column has rows in both blocks: the product is zero
                 x, y = np.asarray(a).reshape(height(i), height(k)), np.asarray(b).reshape(height(j), height(k))
-                yield from sums.add((levels[j], i, j), -(x if d is None else x * np.asarray(d)) @ y.T)
+                z = -(x if d is None else x * np.asarray(d)) @ y.T
+                if z.any():
+                    yield from sums.add((levels[j], i, j), z)
         yield from sums.rest()
 
     out, depth = Steps(spark, FACTORED, "cells"), max(levels.values()) + 1
@@ -241,4 +251,4 @@ def factorize(coo: DataFrame, plan: DataFrame, updates: DataFrame, ldl: bool = F
         b = done.select("bj", F.col("bi").alias("j"), F.col("val").alias("b"), F.pmod("bi", F.lit(grid)).alias("q"), each.alias("p"))
         changes = a.join(b, ["bj", "p", "q"]).where("i >= j").mapInPandas(products, CELL)
         left = checkpointed(left.where(f"lvl > {level}").unionByName(changes).groupBy("lvl", "bi", "bj").applyInPandas(sums, CELL))
-    return Top(out, column, levels, n, size)
+    return Top(out, column, levels, heights, size)

@@ -1,6 +1,6 @@
 """LL' and LDL' factorization and triangular sweeps: whole subtrees in one task each, and what is above them by cells.
 
-``plan`` is one row a supernode (see ``ferrule.plans.solver``). Supernodes of step 0 belong to subtrees, a group each: one grouped kernel factors
+``plan`` is one row a supernode (see ``ferrule.plans.solver``). Supernodes of step 0 belong to subtrees, some of them a group: one grouped kernel factors
 a group multifrontally and gives its panels and, cut along the cells above, what it subtracts there. All other supernodes are the top: ``cells`` factors it.
 """
 
@@ -36,7 +36,7 @@ def factor_front(front: np.ndarray, width: int, fc: int, ldl: bool) -> tuple[np.
 
 def _factor_group(ldl: bool, size: int):
     def run(key, meta: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        """``meta``: plan rows of a subtree; ``data``: its matrix entries (sid, i, j, v)."""
+        """``meta``: plan rows of a bundle of subtrees; ``data``: its matrix entries (sid, i, j, v)."""
         meta, data = meta.sort_values("sid"), data.sort_values("sid", kind="stable")
         at = np.searchsorted(data["sid"].to_numpy(), meta["sid"].to_numpy(), side="left")
         to = np.searchsorted(data["sid"].to_numpy(), meta["sid"].to_numpy(), side="right")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 from ferrule.functions.basic import panel_flops
@@ -44,16 +46,47 @@ def cut(sparent: np.ndarray, width: np.ndarray, height: np.ndarray, slots: int,
     return grp, step
 
 
+#: Entries of panels that a task should have at most.
+PANELS = 16_000_000
+
+
+def bundles(grp: np.ndarray, step: np.ndarray, width: np.ndarray, height: np.ndarray, slots: int) -> np.ndarray:
+    """``grp`` with subtrees put together, so that a task has several small ones: the largest first, each to the bundle of least cost so far; there are four
+    bundles a slot, or more if their panels would pass ``PANELS`` entries each. Above the subtrees nothing changes."""
+    low = step == 0
+    trees, of = np.unique(grp[low], return_inverse=True)
+    cost = np.bincount(of, panel_flops(width[low].astype(float), height[low].astype(float)), len(trees))
+    parts = max(1, min(len(trees), max(4 * slots, -(-int((width * height)[low].sum()) // PANELS))))
+    largest = np.argsort(-cost, kind="stable")
+    own = np.empty(len(trees), np.int64)
+    own[largest] = balance(cost[largest], parts)
+    first = np.full(parts, len(grp), np.int64)
+    np.minimum.at(first, own, trees)  # a bundle has the name of one of its subtrees
+    out = grp.copy()
+    out[low] = first[own[of]]
+    return out
+
+
 def block_levels(rows: list[np.ndarray], width: np.ndarray, step: np.ndarray, size: int) -> tuple[np.ndarray, list, list]:
     """For each supernode: its first column's number among the columns of the top (-1 below it); the levels of its columns' blocks (None below the
-    top); and, for roots of subtrees, the numbers of the rows above (None elsewhere). Blocks are ``size`` columns of the top; a block's level is one more than the
-    highest of the blocks whose factor reaches it, by the elimination tree of blocks."""
+    top); and, for roots of subtrees, the numbers of the rows above (None elsewhere).
+
+    The top is numbered step by step, each step from a multiple of ``size`` on, so that numbers have gaps and no block of ``size`` numbers holds columns of two
+    steps, nor parts of a supernode that one block could hold: supernodes of one step don't depend on each other, nor do their blocks, unless one supernode has several. A block's level is one more than the
+    highest of the blocks with a column that has rows in it, so there are about as many levels as steps."""
     ns, high = len(width), step > 0
-    first = np.where(high, np.cumsum(np.where(high, width, 0)) - width, -1)
+    first, at = np.full(ns, -1, np.int64), 0
+    for k in np.unique(step[high]).tolist():
+        for s in np.flatnonzero(step == k).tolist():
+            if at % size + width[s] > size:  # one that wouldn't fit begins a block
+                at = -(-at // size) * size
+            first[s] = at
+            at += int(width[s])
+        at = -(-at // size) * size
     number = np.full(int(width.sum()), -1, np.int64)
     for s in np.flatnonzero(high).tolist():
         number[rows[s][: width[s]]] = first[s] + np.arange(width[s])
-    blocks = -(-int(np.where(high, width, 0).sum()) // size)
+    blocks = at // size
     reach: list[set[int]] = [set() for _ in range(blocks)]
     for s in np.flatnonzero(high).tolist():
         own = np.unique(number[rows[s]] // size)
@@ -61,21 +94,19 @@ def block_levels(rows: list[np.ndarray], width: np.ndarray, step: np.ndarray, si
             reach[b].update(own[own > b].tolist())
     level = np.zeros(blocks, np.int64)
     for b in range(blocks):
-        if reach[b]:
-            up = min(reach[b])
-            reach[up] |= reach[b] - {up}
-            level[up] = max(level[up], level[b] + 1)
+        for r in reach[b]:
+            level[r] = max(level[r], level[b] + 1)
     levels = [level[(first[s] + np.arange(width[s])) // size] if high[s] else None for s in range(ns)]
     above = [number[r[w:]] if not h and len(r) > w and number[r[w]] >= 0 else None for r, w, h in zip(rows, width.tolist(), high.tolist(), strict=True)]
     return first, levels, above
 
 
 def balance(load: np.ndarray, parts: int) -> np.ndarray:
-    """Each item to the least loaded part, in order."""
-    held, out = np.zeros(parts), np.zeros(len(load), np.int64)
+    """Each item to the least loaded part, in order; of equal ones to the first."""
+    held, out = [(0.0, k) for k in range(parts)], np.zeros(len(load), np.int64)
     for k, x in enumerate(load.tolist()):
-        out[k] = int(held.argmin())
-        held[out[k]] += x
+        least, out[k] = heapq.heappop(held)
+        heapq.heappush(held, (least + x, int(out[k])))
     return out
 
 

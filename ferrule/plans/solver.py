@@ -64,6 +64,7 @@ class SymMatrix:
             x, width = s["xsuper"], np.diff(s["xsuper"])
             height = np.array([len(r) for r in s["rows"]], np.int64)
             grp, step = mapping.cut(s["sparent"], width, height, slots, o.limit)
+            grp = mapping.bundles(grp, step, width, height, slots)
             top, levels, trows = mapping.block_levels(s["rows"], width, step, o.cell)
             return pd.DataFrame({"top": top, "levels": levels, "trows": trows, "old": [s["order"][a:b] for a, b in zip(x[:-1], x[1:], strict=True)], "sid": np.arange(len(width)), "fc": x[:-1], "width": width, "rows": s["rows"], "parent": s["sparent"], "grp": grp, "step": step, "nnz": [int(s["cc"][a:b].sum()) for a, b in zip(x[:-1], x[1:], strict=True)], "flops": [int((s["cc"][a:b] ** 2).sum()) for a, b in zip(x[:-1], x[1:], strict=True)]})[[c.split()[0] for c in _PLAN.split(", ")]]
 
