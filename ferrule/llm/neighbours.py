@@ -30,7 +30,7 @@ K, EVERY = 5, 50
 SAMPLE, ROUNDS, SHARE = 20_000, 10, 0.6
 #: Centroids of a half: half the square root of the number of vectors, within these bounds.
 CENTROIDS = (32, 512)
-GROUP_ROWS, QUERY_BLOCK = 8192, 8192
+GROUP_ROWS, QUERY_BLOCK = 2048, 8192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
