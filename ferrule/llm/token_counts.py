@@ -38,8 +38,8 @@ def totals(hist: DataFrame) -> DataFrame:
     tokens_lost, and quantile: the share of documents of at most L."""
     h = materialise(hist)
     n, total = h.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum(F.col("n_docs") * F.col("n_tokens")), F.lit(0))).first()
-    below = prefix_sum(h.withColumn("_t", F.col("n_docs") * F.col("n_tokens")), "n_tokens", "n_docs", "_docs_lt")
-    below = prefix_sum(below, "n_tokens", "_t", "_tokens_lt")
+    below = prefix_sum(h.withColumn("_t", F.col("n_docs") * F.col("n_tokens")), "n_tokens", "n_docs", "_docs_lt", 256)
+    below = prefix_sum(below, "n_tokens", "_t", "_tokens_lt", 256)
     docs_ge = F.lit(n) - F.col("_docs_lt")
     kept = F.col("_tokens_lt") + docs_ge * F.col("n_tokens")
     return below.select(
