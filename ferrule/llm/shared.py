@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ferrule.functions.scan import prefix_sum
+
+__all__ = ["materialise", "packed", "prefix_sum", "shared_dir", "table", "unpacked"]
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -45,15 +47,3 @@ def packed(docs: DataFrame, *own: Column) -> DataFrame:
 def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
     """The columns that ``packed`` put into ``row``, but for those of ``changed``."""
     return df.select(*(changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in columns))
-
-
-def prefix_sum(df: DataFrame, index: str, value: str, out: str, block: int = 4096) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over all rows of a smaller ``index`` (distinct non-negative integers).
-
-    Two levels, so that no task sees more than ``block`` rows of the first and one row per block of the second.
-    """
-    b = df.withColumn("_block", F.floor(F.col(index) / block))
-    before = b.groupBy("_block").agg(F.sum(value).alias("_v"))
-    before = before.select("_block", F.coalesce(F.sum("_v").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.coalesce(F.sum(value).over(W.partitionBy("_block").orderBy(index).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return b.withColumn("_in", inside).join(before, "_block").withColumn(out, F.col("_in") + F.col("_base")).drop("_block", "_in", "_base")
