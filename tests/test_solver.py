@@ -11,7 +11,7 @@ from ferrule.operators import factor, matrix, ordering
 from ferrule.plans import catalog
 from ferrule.plans.solver import Options, SymMatrix
 from ferrule.sources import readers
-from ferrule.sources.fixtures import exact_solution, part_grid
+from ferrule.sources.fixtures import exact_solution, part_grid, part_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -155,3 +155,13 @@ def test_matrix_market_round_trip(spark, tmp_path):
     assert n == 3 and sorted(map(tuple, coo.collect())) == sorted(map(tuple, dense(spark, a).collect()))
     same, n = readers.from_csc(spark, [1, 3, 5, 6], [1, 2, 2, 3, 3], [2.0, -1, 2, -1, 2])
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, coo.collect()))
+
+
+def test_path_is_one_at_a_million_parts(spark, tmp_path):
+    """Over so many rows, two evaluations of a range partitioning don't number its partitions alike."""
+    parts = spark.range(0, 1_200_000, 1, 12).select(F.col("id").alias("p_partkey"), (1 + F.pmod(F.xxhash64("id"), F.lit(50))).cast("int").alias("p_size"))
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    coo, n = part_path(spark, str(tmp_path))
+    edges = coo.where("i <> j")
+    ends = edges.select("i").unionByName(edges.select(F.col("j").alias("i"))).groupBy("i").count().groupBy("count").count()
+    assert n == 1_200_000 and sorted(map(tuple, ends.collect())) == [(1, 2), (2, n - 2)]
