@@ -1,5 +1,7 @@
 """The array kernels against dense algebra."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -156,3 +158,32 @@ def test_balancers_and_tree_map():
     # (2, 2): place min(2, 0 + 2 * 1); (1, 2): place min(2, 1 + 2 * 1), of supernodes 0, 1, 2
     assert mapping.tree_map(sparent, owner, np.array([2, 1]), np.array([2, 2])).tolist() == [owner[2], owner[2]]
     assert mapping.tree_map(sparent, owner, np.array([0]), np.array([0])).tolist() == [0]
+
+
+def grid_pattern(n: int):
+    m = int(np.ceil(n**0.5))
+    k = np.arange(n)
+    right, down = k[(k % m != m - 1) & (k + 1 < n)], k[k + m < n]
+    return np.concatenate([right + 1, down + m]), np.concatenate([right, down])
+
+
+def peak_per_node(n: int, run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / n
+    finally:
+        tracemalloc.stop()
+
+
+def test_symbolic_phase_holds_few_bytes_a_column():
+    """Some numbers a column, not Python objects; and no row lists, which in the natural order have the side of the grid in each."""
+    n = 10_000
+    i, j = grid_pattern(n)
+
+    def fill_counts():
+        cols = symbolic.columns_of(n, i, j)
+        symbolic.counts(cols, symbolic.etree(cols))
+
+    assert peak_per_node(n, fill_counts) < 250
+    assert peak_per_node(n, lambda: symbolic.analyse_arrays(n, i, j, "NATURAL", max_size=0, relaxed=False)) < 400
