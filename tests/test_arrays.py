@@ -187,3 +187,31 @@ def test_symbolic_phase_holds_few_bytes_a_column():
 
     assert peak_per_node(n, fill_counts) < 250
     assert peak_per_node(n, lambda: symbolic.analyse_arrays(n, i, j, "NATURAL", max_size=0, relaxed=False)) < 400
+
+
+@pytest.mark.parametrize("method", ["NATURAL", "MMD", "ND"])
+def test_updates_are_counted_from_runs_of_rows(method):
+    """Against single pairs of supernodes; a grid in its own order has runs, and pairs by the side of the grid as many."""
+    for seed in range(12):
+        n = 5 + 9 * seed
+        i, j = np.nonzero(np.tril(random_matrix(n, seed, 0.05)))
+        s = symbolic.analyse_arrays(n, i, j, method, max_size=6 * (seed % 2), relaxed=bool(seed % 2))
+        width, height = np.diff(s["xsuper"]), s["rows"].heights()
+        owner, ns = np.repeat(np.arange(len(width)), width), len(width)
+        held: dict = {}
+        for k, rows in enumerate(s["rows"]):
+            for c in rows[width[k] :].tolist():
+                held.setdefault((k, int(owner[c])), []).append(c)
+        want = np.zeros((7, ns), np.int64)
+        for (k, t), c in held.items():
+            want[0, t] += 1
+            want[1, t] += 1 + sum(b != a + 1 for a, b in zip(c, c[1:], strict=False))
+            for row, x in ((2, len(c)), (3, width[k]), (4, height[k])):
+                want[row, t] = max(want[row, t], x)
+            want[5, t] += k % 3 == 1
+        r = symbolic.Reach(s["xsuper"], s["rows"])
+        got = [r.sources(), r.cover(), r.most_rows(), r.greatest(width), r.greatest(height), r.sources(np.arange(ns) % 3, 1)]
+        assert all((a == b).all() for a, b in zip(got, want, strict=False))
+    n = 2500
+    s = symbolic.analyse_arrays(n, *grid_pattern(n), "NATURAL", max_size=0, relaxed=False)
+    assert len(s["rows"].start) < 3 * n and s["rows"].heights().sum() > 40 * n
