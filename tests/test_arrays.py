@@ -215,3 +215,23 @@ def test_updates_are_counted_from_runs_of_rows(method):
     n = 2500
     s = symbolic.analyse_arrays(n, *grid_pattern(n), "NATURAL", max_size=0, relaxed=False)
     assert len(s["rows"].start) < 3 * n and s["rows"].heights().sum() > 40 * n
+
+
+@pytest.mark.parametrize("method", ["MMD", "AMD", "RCM", "ND"])
+def test_orderings_hold_few_bytes_a_node(method):
+    n = 10_000
+    i, j = grid_pattern(n)
+    assert peak_per_node(n, lambda: ordering.order_array(method, n, i, j)) < 400
+
+
+@pytest.mark.parametrize("method", ["MMD", "AMD"])
+def test_leaves_go_at_once_and_leave_trees_without_fill(method, monkeypatch):
+    for many in (1, 5, 1024):
+        monkeypatch.setattr(ordering, "MANY", many)
+        for seed in range(8):
+            r = np.random.RandomState(seed)
+            n = 2 + 40 * seed
+            i, j = np.arange(1, n), np.array([r.randint(0, k) for k in range(1, n)])
+            new = np.argsort(ordering.order_array(method, n, i, j))
+            cols = symbolic.columns_of(n, np.maximum(new[i], new[j]), np.minimum(new[i], new[j]))
+            assert symbolic.counts(cols, symbolic.etree(cols))[0].sum() == 2 * n - 1
