@@ -235,3 +235,18 @@ def test_leaves_go_at_once_and_leave_trees_without_fill(method, monkeypatch):
             new = np.argsort(ordering.order_array(method, n, i, j))
             cols = symbolic.columns_of(n, np.maximum(new[i], new[j]), np.minimum(new[i], new[j]))
             assert symbolic.counts(cols, symbolic.etree(cols))[0].sum() == 2 * n - 1
+
+
+def test_a_chain_is_few_steps():
+    """In the natural order the tree is a chain, as deep as it has supernodes; what fits one task is one step."""
+    n = 120_000
+    height = np.minimum(411, 64 * np.arange(n // 64, 0, -1))
+    width, sparent = np.full(len(height), 64), np.append(np.arange(1, len(height)), -1)
+    grp, step = mapping.cut(sparent, width, height, 12)
+    assert step.max() == 0 and len(set(grp.tolist())) == 1
+    grp, step = mapping.cut(sparent, np.full(len(height), 640), height + 640, 12)  # ten times the entries aren't one task's
+    assert (640 * (height + 640))[step == 0].sum() <= mapping.WHOLE and step.max() > 1000
+    stars = np.append(np.full(100_000, 100_000), -1)
+    one = np.ones(len(stars), np.int64)
+    grp, step = mapping.cut(stars, one, one + 1, 2)
+    assert np.bincount(mapping.bundles(np.arange(len(stars)), np.zeros(len(stars), np.int64), one, one + 1, 1)).max() <= mapping.SUPERNODES
