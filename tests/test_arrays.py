@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -250,3 +251,19 @@ def test_a_chain_is_few_steps():
     one = np.ones(len(stars), np.int64)
     grp, step = mapping.cut(stars, one, one + 1, 2)
     assert np.bincount(mapping.bundles(np.arange(len(stars)), np.zeros(len(stars), np.int64), one, one + 1, 1)).max() <= mapping.SUPERNODES
+
+
+def test_panels_are_given_back_as_they_are_made(monkeypatch):
+    """A task holds some panels at a time, not all of its subtrees'."""
+    n = 400
+    i, j = grid_pattern(n)
+    s = symbolic.analyse_arrays(n, i, j, "NATURAL")
+    width, owner = np.diff(s["xsuper"]), np.repeat(np.arange(len(s["xsuper"]) - 1), np.diff(s["xsuper"]))
+    meta = pd.DataFrame({"sid": np.arange(len(width)), "fc": s["xsuper"][:-1], "width": width, "rows": list(s["rows"]), "parent": s["sparent"], "trows": None})
+    data = pd.DataFrame({"sid": owner[np.append(j, np.arange(n))], "i": np.append(i, np.arange(n)), "j": np.append(j, np.arange(n)), "v": np.append(np.full(len(i), -1.0), np.full(n, 5.0))})
+    frame = pd.concat([meta, data])
+    whole = pd.concat(factor._factor_group(False, 256)((0,), iter([frame])))
+    monkeypatch.setattr(factor, "GIVEN", 500)
+    parts = list(factor._factor_group(False, 256)((0,), iter([frame[:3], frame[3:]])))
+    assert len(parts) > 5 and max(len(p) for p in parts) < len(width) / 2
+    assert all(np.array_equal(a, b) for a, b in zip(whole["nzval"], pd.concat(parts)["nzval"], strict=True))
