@@ -165,3 +165,20 @@ def test_path_is_one_at_a_million_parts(spark, tmp_path):
     edges = coo.where("i <> j")
     ends = edges.select("i").unionByName(edges.select(F.col("j").alias("i"))).groupBy("i").count().groupBy("count").count()
     assert n == 1_200_000 and sorted(map(tuple, ends.collect())) == [(1, 2), (2, n - 2)]
+
+
+@pytest.mark.parametrize(("fact", "cell", "limit"), [("LL", 4, 0.0), ("LDL", 7, 300.0)])
+def test_tiers_and_levels_of_the_top_give_the_same(spark, fact, cell, limit):
+    """A task has whole parts of the top: a tier is one job, and there are fewer tiers than levels."""
+    r = np.random.RandomState(cell)
+    a = np.tril(r.rand(60, 60) < 0.06, -1) * r.randn(60, 60)
+    a = a + a.T + np.diag(1 + np.abs(a + a.T).sum(1))
+    b = spark.createDataFrame([(i, k, float(r.randn())) for i in range(60) for k in range(3)], "i long, k int, v double")
+    got = []
+    for tiers in (True, False):
+        m = SymMatrix(dense(spark, a), 60, Options(ordering="ND", fact=fact, cell=cell, limit=limit, tiers=tiers)).factorize()
+        l = {(row["i"], row["j"]): row["v"] for row in m.factor_coo().where("abs(v) > 1e-12").collect()}
+        got.append((m.factor.top.depth, l, {(row["i"], row["k"]): row["v"] for row in m.solve(b, 3).collect()}))
+    (few, l, x), (many, l2, x2) = got
+    assert few < many and l.keys() == l2.keys() and x.keys() == x2.keys()
+    assert all(abs(l[k] - l2[k]) < 1e-9 for k in l) and all(abs(x[k] - x2[k]) < 1e-9 for k in x)
