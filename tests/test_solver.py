@@ -182,3 +182,17 @@ def test_tiers_and_levels_of_the_top_give_the_same(spark, fact, cell, limit):
     (few, l, x), (many, l2, x2) = got
     assert few < many and l.keys() == l2.keys() and x.keys() == x2.keys()
     assert all(abs(l[k] - l2[k]) < 1e-9 for k in l) and all(abs(x[k] - x2[k]) < 1e-9 for k in x)
+
+
+def test_rows_of_cells_are_read_some_at_a_time(spark):
+    """A reader decodes up to 4096 rows together unless row groups are smaller: of the largest cells, 2 GB."""
+    import pyarrow.parquet as pq
+
+    a = np.diag(np.full(120, 9.0)) + np.diag(np.full(119, -1.0), -1)
+    m = SymMatrix(dense(spark, a), 120, Options(ordering="ND", cell=2, limit=0.0)).factorize()
+    held = type(m.factor.top.cells)(spark, m.factor.top.cells.schema, "cells", 5)
+    held.add(m.factor.top.cells.every().coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in held.every().inputFiles()]
+    sizes = [f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+    assert sum(sizes) == m.factor.top.cells.every().count() > 50 and max(sizes) <= 5
+    assert m.factor.top.cells.together * m.options.cell**2 * 8 <= 16_000_000
