@@ -267,3 +267,15 @@ def test_panels_are_given_back_as_they_are_made(monkeypatch):
     parts = list(factor._factor_group(False, 256)((0,), iter([frame[:3], frame[3:]])))
     assert len(parts) > 5 and max(len(p) for p in parts) < len(width) / 2
     assert all(np.array_equal(a, b) for a, b in zip(whole["nzval"], pd.concat(parts)["nzval"], strict=True))
+
+
+@pytest.mark.parametrize("refinement", [None, *symbolic.REFINEMENTS])
+def test_leaves_of_a_star_are_one_supernode(refinement):
+    leaves, stars = 9, 4
+    j = np.concatenate([s * (leaves + 1) + np.arange(leaves) for s in range(stars)])
+    i = np.repeat(np.arange(stars) * (leaves + 1) + leaves, leaves)
+    n = stars * (leaves + 1)
+    s = symbolic.analyse_arrays(n, i, j, "NATURAL", refinement=refinement)
+    assert np.diff(s["xsuper"]).tolist() == [leaves + 1] * stars
+    assert [s["rows"][k].tolist() for k in range(stars)] == [list(range(k * (leaves + 1), (k + 1) * (leaves + 1))) for k in range(stars)]
+    assert len(symbolic.analyse_arrays(n, i, j, "NATURAL", relaxed=False)["xsuper"]) - 1 == stars * leaves  # a last leaf and its centre are one as they are
