@@ -196,3 +196,25 @@ def test_rows_of_cells_are_read_some_at_a_time(spark):
     sizes = [f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
     assert sum(sizes) == m.factor.top.cells.every().count() > 50 and max(sizes) <= 5
     assert m.factor.top.cells.together * m.options.cell**2 * 8 <= 16_000_000
+
+
+@pytest.mark.parametrize("options", [{"fact": "LDL", "cell": 8}, {"cell": 8, "tiers": False}])
+def test_products_at_a_pattern(spark, options):
+    """Entries of the pattern come back whether they lie in subtrees, in parts of the top or in what goes level by level."""
+    coo, n = part_grid(spark, SF)
+    m = SymMatrix(coo, n, Options(ordering="ND", limit=2000.0, max_size=8, **options)).analyse()
+    assert m.plan.where("step > 0").where("part < 0" if "tiers" in options else "part >= 0").count() > 1
+    m.factorize()
+    want = {(r["i"], r["j"]): r["v"] for r in matrix.permute(coo, m.perm).collect()}
+    found = factor.product(m.factor, matrix.permute(coo.select("i", "j"), m.perm))
+    got = [(r["i"], r["j"], r["v"]) for r in found.collect()]
+    assert len(got) == len(want)
+    assert all(abs(want[i, j] - v) < 1e-12 for i, j, v in got)
+
+
+def test_reconstruction_takes_no_factor_apart(spark, monkeypatch):
+    def refused(f):
+        raise AssertionError("the factor is taken apart into entries")
+
+    monkeypatch.setattr(factor, "to_coo", refused)
+    assert catalog.QUERIES["factor_reconstruction"](spark, SF).columns == ["i", "j", "v"]
