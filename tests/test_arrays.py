@@ -142,6 +142,17 @@ def test_block_levels_rise_along_the_factor():
                 assert above[k].tolist() == [number[int(r)] for r in s["rows"][k][width[k] :]]
 
 
+def test_panels_hold_chains():
+    """A chain of thin supernodes is as many steps as its panels; a panel waits for those below it alone."""
+    sparent = np.append(np.arange(1, 40), -1)
+    none = np.full(40, -1)
+    tier, part = mapping.panels(sparent, np.full(40, 150), np.arange(1, 41), none, none, 2048)
+    assert tier.tolist() == [k // 13 for k in range(40)] and len(np.unique(part)) == 4 and (part < -1).all() and (part % 2 == 0).all()
+    tree = np.array([2, 2, 6, 5, 5, 6, -1])
+    tier, part = mapping.panels(tree, np.full(7, 3), np.array([0, 1, 2, 1, 1, 2, 3]), np.full(7, -1), np.full(7, -1), 9)
+    assert tier.tolist() == [-1, 0, 0, 0, 0, 0, 1] and part[1] == part[2] != part[3] == part[4] == part[5] != part[6] and part[0] == -1
+
+
 def test_balancers_and_tree_map():
     sparent = np.array([2, 2, 6, 5, 5, 6, -1])
     rows = [np.array(x) for x in ([0, 2], [1, 2, 6], [2, 6], [3, 5], [4, 5, 6], [5, 6], [6])]

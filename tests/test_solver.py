@@ -184,6 +184,29 @@ def test_tiers_and_levels_of_the_top_give_the_same(spark, fact, cell, limit):
     assert all(abs(l[k] - l2[k]) < 1e-9 for k in l) and all(abs(x[k] - x2[k]) < 1e-9 for k in x)
 
 
+@pytest.mark.parametrize(("fact", "cell", "panel"), [("LL", 4, 12), ("LDL", 5, 20), ("LL", 8, 64), ("LDL", 4, 1)])
+def test_thin_supernodes_of_the_top_go_together(spark, fact, cell, panel):
+    """Panels of several blocks are one step each, and give what dense algebra does."""
+    r = np.random.RandomState(panel)
+    a = np.tril(r.rand(60, 60) < 0.1, -1) * r.randn(60, 60)
+    a = a + a.T + np.diag(r.choice([-1.0, 1.0], 60) if fact == "LDL" else np.ones(60)) * (1 + np.abs(a + a.T).sum(1))
+    m = SymMatrix(dense(spark, a), 60, Options(ordering="ND", fact=fact, cell=cell, limit=0.0, max_size=2, tiers=False, panel=panel)).factorize()
+    steps = m.plan.agg({"step": "max"}).first()[0]
+    assert m.factor.top.depth <= (steps if panel < 4 else steps // 2)
+    b = r.randn(60, 2)
+    x = np.zeros((60, 2))
+    for row in m.solve(spark.createDataFrame([(i, k, float(b[i, k])) for i in range(60) for k in range(2)], "i long, k int, v double")).collect():
+        x[row["i"], row["k"]] += row["v"]
+    assert np.allclose(a @ x, b)
+    new = {row["old"]: row["new"] for row in m.perm.collect()}
+    p = np.argsort([new[k] for k in range(60)])
+    found = np.zeros((60, 60))
+    i, j = np.tril_indices(60)
+    for row in factor.product(m.factor, spark.createDataFrame([(int(c), int(d)) for c, d in zip(i, j, strict=True)], "i long, j long")).collect():
+        found[row["i"], row["j"]] = row["v"]
+    assert np.allclose(found, np.tril(a[np.ix_(p, p)]))
+
+
 def test_rows_of_cells_are_read_some_at_a_time(spark):
     """A reader decodes up to 4096 rows together unless row groups are smaller: of the largest cells, 2 GB."""
     import pyarrow.parquet as pq
